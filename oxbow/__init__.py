@@ -1,3 +1,10 @@
 """oxbow: a PySpark-native analytical engine (DataFrame / SQL building blocks)."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions that run in Python workers travel with the job: executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -5,11 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from oxbow.operators.anomalies import Reading, implausible_readings
 from oxbow.operators.intervals import interval_periods
 from oxbow.operators.snapshots import snapshot_changes
 from oxbow.session import table
 
 
+def p2_readings(spark: SparkSession, d: str) -> DataFrame:
+    """Flagged readings with their kind."""
+    modules = table(spark, d, "sysmodules").select("modulename", "cpucores", "swaptotalk")
+    p = table(spark, d, "processlog").select(
+        "log_id", "trackid", "modulename", "snapshotid", "processpid", "processcpupct", "processmempct", "moduleswapusedk"
+    ).join(modules, "modulename", "left")
+    zero, track, pid = F.lit(0), F.col("trackid"), F.col("processpid")
+    return implausible_readings(p, "log_id", "snapshotid", [
+        Reading("processcpupct", F.col("processcpupct"), zero, 100 * F.col("cpucores"), 5, 0.3, 0.08, (track, pid)),
+        Reading("processmempct", F.col("processmempct"), zero, F.lit(100), 5, 0.1, 0.03, (track, pid)),
+        Reading("moduleswapusedk", F.col("moduleswapusedk"), zero, F.col("swaptotalk"), 50_000, 1_000, 0.02, (track,)),
+    ])
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_readings(spark, d).select("log_id", "field")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return snapshot_changes(table(spark, d, "processlog"), "trackid", "snapshotid", "processpid", "log_id", "processcommand")
 
@@ -19,7 +38,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return interval_periods(t, F.lower(F.trim("stack")), F.col("checkedout"), F.col("checkedin")).withColumnRenamed("entity", "stack")
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found}
+QUERIES = {"p2_found": p2_found, "p2_readings": p2_readings, "p3_found": p3_found, "p5_found": p5_found}
 
 ORACLE = {
     "p3_found": r"""
