@@ -2,8 +2,18 @@
 
 from __future__ import annotations
 
-from oxbow.llm import truncation
+from oxbow.llm import dedup, frequent, packing, tokenizer, truncation
 
-QUERIES = {"p1_found": truncation.p1_found, "p1_shares": truncation.p1_shares}
+QUERIES = {
+    "p1_found": truncation.p1_found,
+    "p1_shares": truncation.p1_shares,
+    "p4_found": frequent.p4_found,
+    "p4_items": frequent.p4_items,
+    "p4_top_users": frequent.p4_top_users,
+    "p7_found": dedup.p7_found,
+    "p7_collapsed": dedup.p7_collapsed,
+    "p8_ids": tokenizer.p8_ids,
+    "p9_containers": packing.p9_containers,
+}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {**frequent.ORACLE}
