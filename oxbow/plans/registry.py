@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from oxbow.plans import general
+from oxbow.plans import general, relational, tpch
 
-MODULES = [general]
+MODULES = [tpch, relational, general]
 
 
 def queries() -> dict:
