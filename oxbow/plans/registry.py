@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from oxbow.plans import general, relational, tpch
+from oxbow.plans import functions, general, relational, tpch, windows
 
-MODULES = [tpch, relational, general]
+MODULES = [tpch, relational, windows, functions, general]
 
 
 def queries() -> dict:
