@@ -104,7 +104,7 @@ FN: dict[str, tuple[str, str | None, str]] = {
     "last_day": (f"last_day({D})", None, O),
     "makedate": ("ox_makedate(CAST(2000 + p_size AS DOUBLE), CAST(p_partkey % 400 AS DOUBLE))", "CASE WHEN p_partkey % 400 >= 1 THEN CAST(make_date(2000 + p_size, 1, 1) + CAST(p_partkey % 400 - 1 AS INT) AS DATE) END", P),
     "maketime": ("ox_maketime(CAST(p_partkey % 1000 AS INT), p_size, 30)",
-                 "CASE WHEN p_partkey % 1000 > 838 THEN '838:59:59' ELSE lpad(CAST(p_partkey % 1000 AS VARCHAR), greatest(2, length(CAST(p_partkey % 1000 AS VARCHAR))), '0') || ':' || lpad(CAST(p_size AS VARCHAR), 2, '0') || ':30' END", P),
+                 "CASE WHEN p_partkey % 1000 > 838 THEN '838:59:59' ELSE lpad(CAST(p_partkey % 1000 AS VARCHAR), CAST(greatest(2, length(CAST(p_partkey % 1000 AS VARCHAR))) AS INT), '0') || ':' || lpad(CAST(p_size AS VARCHAR), 2, '0') || ':30' END", P),
     "microsecond": ("CAST(ox_microsecond(ts) AS BIGINT)", "CAST(microsecond(ts) % 1000000 AS BIGINT)", E),
     "minute": ("CAST(minute(ts) AS BIGINT)", None, E),
     "month": (f"CAST(month({D}) AS BIGINT)", None, O),
@@ -113,12 +113,12 @@ FN: dict[str, tuple[str, str | None, str]] = {
     "period_diff": (f"ox_period_diff({PER}, 199701)", f"CAST((year({D}) - 1997) * 12 + month({D}) - 1 AS INT)", O),
     "quarter": (f"CAST(quarter({D}) AS BIGINT)", None, O),
     "sec_to_time": ("ox_sec_to_time(CAST(o_orderkey * 250 AS DOUBLE))",
-                    "CASE WHEN o_orderkey * 250 > 3020399 THEN '838:59:59' ELSE lpad(CAST(o_orderkey * 250 // 3600 AS VARCHAR), greatest(2, length(CAST(o_orderkey * 250 // 3600 AS VARCHAR))), '0') || ':' || lpad(CAST(o_orderkey * 250 // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(o_orderkey * 250 % 60 AS VARCHAR), 2, '0') END", O),
+                    "CASE WHEN o_orderkey * 250 > 3020399 THEN '838:59:59' ELSE lpad(CAST(o_orderkey * 250 // 3600 AS VARCHAR), CAST(greatest(2, length(CAST(o_orderkey * 250 // 3600 AS VARCHAR))) AS INT), '0') || ':' || lpad(CAST(o_orderkey * 250 // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(o_orderkey * 250 % 60 AS VARCHAR), 2, '0') END", O),
     "second": ("CAST(second(ts) AS BIGINT)", None, E),
     "time": ("date_format(ts, 'HH:mm:ss')", "strftime(ts, '%H:%M:%S')", E),
     "time_to_sec": ("ox_time_to_sec(date_format(ts, 'HH:mm:ss'))", "CAST(hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS BIGINT)", E),
     "timediff": ("ox_timediff(ts, CAST('2023-12-31 00:00:00' AS TIMESTAMP_NTZ))",
-                 "CASE WHEN date_diff('second', TIMESTAMP '2023-12-31 00:00:00', date_trunc('second', ts)) > 3020399 THEN '838:59:59' ELSE (SELECT lpad(CAST(x // 3600 AS VARCHAR), greatest(2, length(CAST(x // 3600 AS VARCHAR))), '0') || ':' || lpad(CAST(x // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(x % 60 AS VARCHAR), 2, '0') FROM (SELECT date_diff('second', TIMESTAMP '2023-12-31 00:00:00', date_trunc('second', ts)) AS x) q) END", E),
+                 "CASE WHEN date_diff('second', TIMESTAMP '2023-12-31 00:00:00', date_trunc('second', ts)) > 3020399 THEN '838:59:59' ELSE (SELECT lpad(CAST(x // 3600 AS VARCHAR), CAST(greatest(2, length(CAST(x // 3600 AS VARCHAR))) AS INT), '0') || ':' || lpad(CAST(x // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(x % 60 AS VARCHAR), 2, '0') FROM (SELECT date_diff('second', TIMESTAMP '2023-12-31 00:00:00', date_trunc('second', ts)) AS x) q) END", E),
     "addtime": ("ox_addtime(ts, '26:10:05', 1)", "ts + INTERVAL '26 hours 10 minutes 5 seconds'", E),
     "subtime": ("ox_addtime(ts, '26:10:05', -1)", "ts - INTERVAL '26 hours 10 minutes 5 seconds'", E),
     "timestampdiff_year": (f"ox_year_diff(CAST(o_orderdate AS TIMESTAMP_NTZ), CAST('2002-06-15 00:00:00' AS TIMESTAMP_NTZ))", f"((2002 * 12 + 6) - ({Y} * 12 + {M})) // 12", O),
@@ -146,8 +146,10 @@ def _query(expr: str, source: str):
     return query
 
 
-QUERIES = {f"fn_{n}": _query(x, src) for n, (x, _, src) in FN.items()}
-ORACLE = {f"fn_{n}": f"SELECT {KEYS[src]}, {y or x} AS v {src}" for n, (x, y, src) in FN.items() if n != "crc32"}
+#: Dates are shown as text, so that both sides compare alike.
+DATES = {"cast_date", "date", "from_days", "last_day", "makedate"}
+QUERIES = {f"fn_{n}": _query(f"CAST({x} AS STRING)" if n in DATES else x, src) for n, (x, _, src) in FN.items()}
+ORACLE = {f"fn_{n}": f"SELECT {KEYS[src]}, " + (f"CAST({y or x} AS VARCHAR)" if n in DATES else y or x) + f" AS v {src}" for n, (x, y, src) in FN.items() if n != "crc32"}
 
 
 def _made(tab: str, key: str, **cols):
