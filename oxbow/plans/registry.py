@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from oxbow.plans import functions, general, relational, tpch, windows
+from oxbow.plans import functions, general, relational, sources, tpch, windows
 
-MODULES = [tpch, relational, windows, functions, general]
+MODULES = [tpch, relational, windows, functions, sources, general]
 
 
 def queries() -> dict:
