@@ -119,8 +119,6 @@ def str_to_date_parts(c: Column, fmt: str) -> Column:
     if full:
         y = num(full)
         year = F.when(F.length(group[full]) <= 2, F.when(y < 70, y + 2000).otherwise(y + 1900)).otherwise(y)
-        if full in "YXx":  # a digit more would be another year
-            ok = ok & ~text.rlike(pattern[: pattern.index(READ[full]) + len(READ[full])] + r"\d") if order.index(full) == len(order) - 1 else ok
     name = next((s for s in "Mb" if s in group), None)
     month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.substring(group[name], 1, 3)).cast("int") if name else checked(pick("m", "c"), 0, 12)
     day = checked(pick("d", "e", "D"), 0, 31)
