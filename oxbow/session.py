@@ -54,3 +54,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def parallelism(spark: SparkSession) -> int:
     """Shuffle partitions of the session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The frame over all cores where its files make fewer tasks than there are cores (small inputs before Python work); else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
