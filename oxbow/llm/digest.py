@@ -24,6 +24,8 @@ from oxbow.llm.quality import exact_ranks
 from oxbow.session import ensure_checkpoint_dir, table
 
 DELTA = 1000
+#: Stands for the null group where ranks are joined.
+NO_GROUP = "\x01no group"
 SCHEMA = "field string, grp string, day date, n long, low double, high double, means array<double>, weights array<long>"
 COLUMNS = [x.split(" ")[0] for x in SCHEMA.split(", ")]
 
@@ -85,7 +87,9 @@ def _partial(delta: int):
 
         for b in parts:
             fields = [c for c in b.columns if c not in ("grp", "day")]
-            codes, keys = pd.factorize(pd.MultiIndex.from_arrays([b["grp"].fillna("\0"), b["day"]]))
+            group, groups = pd.factorize(b["grp"], use_na_sentinel=False)
+            date, dates = pd.factorize(b["day"], use_na_sentinel=False)
+            codes = group.astype(np.int64) * len(dates) + date
             order = np.argsort(codes, kind="stable")
             edges = np.flatnonzero(np.r_[True, np.diff(codes[order]) != 0, True])
             for f in fields:
@@ -94,8 +98,8 @@ def _partial(delta: int):
                     x = v[edges[i] : edges[i + 1]]
                     x = x[~np.isnan(x)]
                     if len(x):
-                        g, d = keys[codes[order[edges[i]]]]
-                        add((f, None if g == "\0" else g, d if d == d and d is not pd.NaT else None), *np.unique(x, return_counts=True))
+                        g, d = groups[group[order[edges[i]]]], dates[date[order[edges[i]]]]
+                        add((f, None if pd.isna(g) else g, None if pd.isna(d) else d), *np.unique(x, return_counts=True))
             if len(held) > 20_000:
                 yield frame()
         if held:
@@ -211,8 +215,8 @@ def _exact(df: DataFrame, group: Column, bad: DataFrame) -> DataFrame:
     long = df.select(group.cast("string").alias("g"), each.alias("x")).select("g", "x.f", "x.v").filter(F.col("v").isNotNull())
     groups = bad.select(F.col("grp").alias("bg"), F.col("field").alias("bf")).distinct()
     some = long.join(groups, (F.col("f") == F.col("bf")) & F.col("g").eqNullSafe(F.col("bg")), "left_semi")
-    ranks = exact_ranks(some.select(F.col("f").alias("stat"), F.coalesce("g", F.lit("\0")).alias("lang"), F.col("v").alias("value"))).drop("n")
-    hit = bad.join(ranks, (F.col("field") == F.col("stat")) & (F.coalesce("grp", F.lit("\0")) == F.col("lang")) & (F.col("low") >= F.col("q")))
+    ranks = exact_ranks(some.select(F.col("f").alias("stat"), F.coalesce("g", F.lit(NO_GROUP)).alias("lang"), F.col("v").alias("value"))).drop("n")
+    hit = bad.join(ranks, (F.col("field") == F.col("stat")) & (F.coalesce("grp", F.lit(NO_GROUP)) == F.col("lang")) & (F.col("low") >= F.col("q")))
     return hit.groupBy("grp", "field", "n", "q").agg(F.min("value").alias("estimate")).withColumn("rank_error", F.lit(0.0)).select("grp", "field", "n", "q", "estimate", "rank_error")
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from oxbow.session import ensure_checkpoint_dir, table
+from oxbow.session import ensure_checkpoint_dir, spread, table
 
 #: Statistic and the tail in which lists, tables and junk lie.
 TAILS = {
@@ -98,7 +98,7 @@ def document_stats(docs: DataFrame, common_words: DataFrame, key: str = "doc_id"
         F.col("text").rlike(r"[^\s\u00a0\u2007\u202f\u200b\ufeff\u3000\u2000-\u200a\u2028\u2029\u0085]")
     )
     kind = src.schema["key"].dataType.simpleString()
-    made = src.mapInArrow(_stats_pass(frozen), f"key {kind}, lang string, n_words long, " + ", ".join(f"{s} double" for s in TAILS))
+    made = spread(src).mapInArrow(_stats_pass(frozen), f"key {kind}, lang string, n_words long, " + ", ".join(f"{s} double" for s in TAILS))
     return made.withColumnRenamed("key", key)
 
 

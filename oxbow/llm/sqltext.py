@@ -178,28 +178,51 @@ def strip_marker(text: str) -> tuple[str, bool]:
     return (text[: m.start()], True) if m else (text, False)
 
 
-def _condition_ends(t: list[str]) -> bool:
+def _value_ends(t: list[str], aliases: frozenset[str] | set[str]) -> bool:
+    """Whether tokens are one whole value: literals, numbers, columns and calls joined by arithmetic, nothing left over."""
+    i, n = 0, len(t)
+    while True:
+        while i < n and t[i] in ("+", "-"):
+            i += 1
+        if i >= n:
+            return False
+        if t[i] == "(":
+            depth = 0
+            while i < n:
+                depth += (t[i] == "(") - (t[i] == ")")
+                i += 1
+                if depth == 0:
+                    break
+        else:
+            first = i
+            i += 1
+            while i + 1 < n and t[i] == ".":
+                i += 2
+            if i < n and t[i] == "(":
+                continue
+            if i == n and i - first == 1 and t[first] in aliases:
+                return False  # an alias without its column
+        if i >= n:
+            return True
+        if t[i] not in ("+", "-", "*", "/", "%"):
+            return False
+        i += 1
+
+
+def _condition_ends(t: list[str], aliases: frozenset[str] | set[str] = frozenset()) -> bool:
     """Whether the last condition is whole: a column, an operator and what it needs."""
     while _wrapped(t):
         t = t[1:-1]
     if _has_or(t):
-        return _condition_ends(_split(t, "or")[-1])
+        return _condition_ends(_split(t, "or")[-1], aliases)
     parts = _split(t, "and")
     if len(parts) > 1:
-        return _condition_ends(parts[-1])
+        return _condition_ends(parts[-1], aliases)
     for i, x in enumerate(t):
         if x[0] in "<>=!" or x in ("like", "rlike", "regexp"):
-            rest = t[i + 1 :]
-            k = 1 if rest[:1] and rest[0] in "+-" else 0
-            if not rest[k:]:
-                return False
-            a = rest[k:]
-            # a value: literal, number, column, a.column or a call; nothing behind it but arithmetic
-            if len(a) == 1:
-                return True
-            return a[1][0] in ".(+-*/"
+            return _value_ends(t[i + 1 :], aliases)
         if x == "between":
-            return "and" in t[i:] and t.index("and", i) < len(t) - 1 and (len(t) - t.index("and", i) == 2 or t[t.index("and", i) + 2][0] in ".(+-*/")
+            return "and" in t[i:] and _value_ends(t[t.index("and", i) + 1 :], aliases)
         if x == "in":
             return t[i + 1 : i + 2] == ["("] and t[-1] == ")"
         if x == "is":
@@ -207,20 +230,30 @@ def _condition_ends(t: list[str]) -> bool:
     return "(" in t or "exists" in t
 
 
-def end_missing(text: str) -> bool:
-    """Whether a statement's text stops before its end, as far as its grammar tells.
+def _aliases(body: list[str]) -> set[str]:
+    """Short names given to tables in a FROM list."""
+    return {x[-1] for x in _split(body, ",") if len(x) > 1 and x[-2] not in (".", ")") and x[-1] not in CLAUSES}
+
+
+def tail_word(t: list[str]) -> str | None:
+    """The word that tokens end with, if they do: it may be a part of a longer one."""
+    return t[-1] if t and t[-1][0].isalpha() and "--" not in t else None
+
+
+def end_missing(text: str, t: list[str] | None = None) -> bool:
+    """Whether a statement's text (its tokens are ``t``) stops before its end, as far as its grammar tells.
 
     Open quotes and brackets, a last word that needs another, an unfinished last condition,
     plain select items without GROUP BY beside aggregates or missing in it, an ORDER BY column
     that is nowhere selected, an INSERT without as many values as columns.
     """
-    t = tokens(text)
+    t = tokens(text) if t is None else t
     if not t:
         return False
     if text.count("`") % 2:
         return True
     if "--" in t:
-        return t[-1] == "--" or t[-2:] == ["--", "run"]
+        return t[-1] == "--"
     if t[-1][0] in "'\"" and (len(t[-1]) == 1 or t[-1][-1] != t[-1][0]):
         return True
     if t.count("(") > t.count(")"):
@@ -231,6 +264,7 @@ def end_missing(text: str) -> bool:
     parts = _clauses(t)
     words = [w for w, _ in parts]
     last, body = parts[-1]
+    aliases = next((_aliases(x) for w, x in parts if w == "from"), set())
     if head == "select":
         select = parts[0][1][1:]
         if select[:1] in (["distinct"], ["all"]):
@@ -242,7 +276,7 @@ def end_missing(text: str) -> bool:
             return any(x and not x[0][0].isdigit() and x[0][0] not in "'\"@" and x[0] not in CONSTANTS for x in plain)
         aggregate = any(x[0] in AGGREGATES for x in called)
         if last == "where":
-            if not _condition_ends(body):
+            if not _condition_ends(body, aliases):
                 return True
         if aggregate and plain:
             if "group" not in words:
@@ -259,9 +293,9 @@ def end_missing(text: str) -> bool:
             tail = [x for x in listed[-1] if x not in ("asc", "desc")]
             if listed[-1] and listed[-1][-1] not in ("asc", "desc") and len(tail) > 1 and tail[1] != "." and "(" not in tail:
                 return True  # a cut ASC, DESC, ORDER or LIMIT
-            if last == "order" and not tail[0].isdigit() and _plain(tail) not in names and not any(_plain(tail) in n for n in names if "(" in n):
+            if not tail:
                 return True
-            if last == "group" and tail and _plain(tail) not in names and "(" not in tail:
+            if "(" not in tail and not tail[0].isdigit() and _plain(tail) not in names and "*" not in names and (tail[-1] not in {y for x in called for y in x} or last == "group"):
                 return True
         return False
     if head in ("update", "delete"):
@@ -283,5 +317,5 @@ def end_missing(text: str) -> bool:
                 return any(len(_split(r[1:-1], ",")) != len(_split(first[at + 1 : -1], ",")) for r in _split(body, ","))
         return False
     if head == "load":
-        return not ("table" in t and t[-1][0] in "'\"" or t[-3:-1] == ["into", "table"] and False)
+        return not ("table" in t and t[-1][0] in "'\"")
     return False

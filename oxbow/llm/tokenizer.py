@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oxbow.session import table
+from oxbow.session import spread, table
 
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern of the public vocabulary that splits text before merging (fixed value).
@@ -129,11 +129,11 @@ def encode(df: DataFrame, key: str, text: str, ranks_path: str = DEFAULT_RANKS,
     """One row per row of ``df``: key and ids (a list of integers), or with ``counts`` key and n.
 
     Null and empty texts come out with an empty list (or 0); blank texts have the ids of their
-    blanks. Rows are independent: no shuffle. The vocabulary, of fixed size, goes to the
+    blanks. Rows are independent: nothing is shuffled (but for inputs of fewer tasks than cores, which are spread). The vocabulary, of fixed size, goes to the
     executors as a broadcast variable; only the driver reads ``ranks_path``.
     """
     ranks = df.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
-    src = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    src = spread(df.select(F.col(key).alias("key"), F.col(text).alias("text")))
     kind = src.schema["key"].dataType.simpleString()
     out = src.mapInArrow(_worker(ranks, pattern, counts), f"key {kind}, " + ("n long" if counts else "ids array<int>"))
     return out.withColumnRenamed("key", key)
