@@ -86,9 +86,9 @@ def _partial(delta: int):
             return pd.DataFrame(rows, columns=COLUMNS)
 
         for b in parts:
-            fields = [c for c in b.columns if c not in ("grp", "day")]
-            group, groups = pd.factorize(b["grp"], use_na_sentinel=False)
-            date, dates = pd.factorize(b["day"], use_na_sentinel=False)
+            fields = [c for c in b.columns if c not in ("__grp", "__day")]
+            group, groups = pd.factorize(b["__grp"], use_na_sentinel=False)
+            date, dates = pd.factorize(b["__day"], use_na_sentinel=False)
             codes = group.astype(np.int64) * len(dates) + date
             order = np.argsort(codes, kind="stable")
             edges = np.flatnonzero(np.r_[True, np.diff(codes[order]) != 0, True])
@@ -156,7 +156,7 @@ def merge(digests: DataFrame, keep_day: bool, delta: int = DELTA) -> DataFrame:
 
 def daily_digests(df: DataFrame, group: Column, day: Column, fields: list[str], delta: int = DELTA) -> DataFrame:
     """One digest per field, group and day (SCHEMA). Null values are none; null groups and days are groups."""
-    src = df.select(group.cast("string").alias("grp"), day.cast("date").alias("day"), *[F.col(f).cast("double").alias(f) for f in fields])
+    src = df.select(group.cast("string").alias("__grp"), day.cast("date").alias("__day"), *[F.col(f).cast("double").alias(f) for f in fields])
     return merge(src.mapInPandas(_partial(delta), SCHEMA), keep_day=True, delta=delta)
 
 
@@ -185,18 +185,18 @@ def group_percentiles(df: DataFrame, group: Column, day: Column, fields: list[st
     est = digests.select("field", "grp", "n", "low", "high", "means", "weights").mapInPandas(_estimates(qs), "field string, grp string, n long, estimates array<double>").checkpoint()
     wide = est.groupBy("grp").pivot("field", fields).agg(F.first("estimates"))
     wide = wide.select(F.col("grp").alias("__grp"), *[F.col(f"`{f}`").alias(f"__{f}") for f in fields])
-    src = df.select(group.cast("string").alias("grp"), *[F.col(f).cast("double").alias(f) for f in fields])
-    met = src.join(wide, F.col("grp").eqNullSafe(F.col("__grp")))
+    src = df.select(group.cast("string").alias("__of"), *[F.col(f).cast("double").alias(f) for f in fields])
+    met = src.join(wide, F.col("__of").eqNullSafe(F.col("__grp")))
     counts = []
     for f in fields:
         for i in range(len(qs)):
             e = F.col(f"__{f}")[i]
             counts += [F.sum((F.col(f) < e).cast("long")).alias(f"{f}_{i}_lt"), F.sum((F.col(f) <= e).cast("long")).alias(f"{f}_{i}_le")]
-    counted = met.groupBy("grp").agg(*counts)
+    counted = met.groupBy("__of").agg(*counts)
     each = F.explode(
         F.array(*[F.struct(F.lit(f).alias("field"), F.lit(i).alias("i"), F.lit(q).alias("q"), F.col(f"{f}_{i}_lt").alias("lt"), F.col(f"{f}_{i}_le").alias("le")) for f in fields for i, q in enumerate(qs)])
     )
-    long = counted.select(F.col("grp").alias("g"), each.alias("x")).select("g", F.col("x.field").alias("f"), "x.i", "x.q", "x.lt", "x.le")
+    long = counted.select(F.col("__of").alias("g"), each.alias("x")).select("g", F.col("x.field").alias("f"), "x.i", "x.q", "x.lt", "x.le")
     out = est.join(long, (F.col("field") == F.col("f")) & F.col("grp").eqNullSafe(F.col("g")))
     target = F.col("q") * F.col("n")
     off = F.greatest(F.lit(0.0), F.col("lt") - target, target - F.col("le")) / F.col("n")
