@@ -16,20 +16,20 @@ def running(partition: list[str], order: list) -> WindowSpec:
     return Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def count_distinct(c: str, w: WindowSpec) -> Column:
-    """COUNT(DISTINCT c) OVER w; the distinct values of a partition must fit in memory."""
-    return F.size(F.collect_set(c).over(w)).cast("long")
+def with_distinct(df: DataFrame, c: str, partition: list[str], count: str, total: str, mean: str) -> DataFrame:
+    """COUNT, SUM and AVG (DISTINCT c) OVER whole partitions.
 
-
-def sum_distinct(c: str, w: WindowSpec) -> Column:
-    """SUM(DISTINCT c) OVER w; null if there is no value."""
-    values = F.collect_set(F.col(c).cast("double")).over(w)
-    return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda a, x: a + x))
-
-
-def avg_distinct(c: str, w: WindowSpec) -> Column:
-    """AVG(DISTINCT c) OVER w; null if there is no value."""
-    return sum_distinct(c, w) / F.nullif(count_distinct(c, w), F.lit(0))
+    By a grouped aggregation that is joined back: no partition's set of values is held in one row. Null
+    partition values form a partition; without values the sum and the mean are null.
+    """
+    sums = df.groupBy(*partition).agg(
+        F.count_distinct(c).alias(count), F.sum_distinct(F.col(c).cast("double")).alias(total), (F.sum_distinct(F.col(c).cast("double")) / F.nullif(F.count_distinct(c), F.lit(0))).alias(mean)
+    )
+    keys = sums.select(*[F.col(p).alias(f"__p{i}") for i, p in enumerate(partition)], count, total, mean)
+    on = F.lit(True)
+    for i, p in enumerate(partition):
+        on = on & F.col(p).eqNullSafe(F.col(f"__p{i}"))
+    return df.join(keys, on).drop(*[f"__p{i}" for i in range(len(partition))])
 
 
 def lag_default(c: str, n: int, default: Column, w: WindowSpec, lead: bool = False) -> Column:
@@ -37,10 +37,19 @@ def lag_default(c: str, n: int, default: Column, w: WindowSpec, lead: bool = Fal
     return F.coalesce((F.lead if lead else F.lag)(c, n).over(w), default)
 
 
-def lag_ignore_nulls(c: str, n: int, w: WindowSpec) -> Column:
-    """The n-th value before this row that isn't null."""
-    before = F.collect_list(c).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return F.when(F.size(before) >= n, F.element_at(before, -n))
+def with_lag_ignore_nulls(df: DataFrame, c: str, n: int, partition: list[str], order: list, out: str) -> DataFrame:
+    """LAG(c, n) IGNORE NULLS: the n-th value before each row that isn't null, or null.
+
+    Values that aren't null are numbered; a row that has k of them before it takes number k - n + 1 by an
+    equi-join, so no list of a partition is built.
+    """
+    w = Window.partitionBy(*partition).orderBy(*order)
+    base = df.withColumn("__before", F.count(c).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col(c).isNotNull().cast("int"))
+    values = base.filter(F.col(c).isNotNull()).select(*[F.col(p).alias(f"__p{i}") for i, p in enumerate(partition)], (F.col("__before") + n).alias("__at"), F.col(c).alias(out))
+    on = F.col("__before") == F.col("__at")
+    for i, p in enumerate(partition):
+        on = on & F.col(p).eqNullSafe(F.col(f"__p{i}"))
+    return base.join(values, on, "left").select(*df.columns, out)
 
 
 def nth_from_last(c: str, n: int, partition: list[str], order: list) -> Column:

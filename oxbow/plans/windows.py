@@ -58,10 +58,8 @@ QUERIES, ORACLE = split(TEXTS)
 
 
 def win_distinct(spark: SparkSession, d: str) -> DataFrame:
-    w = W.whole("p_brand")
-    return table(spark, d, "part").select(
-        "p_partkey", W.count_distinct("p_size", w).alias("n"), W.sum_distinct("p_size", w).alias("s"), F.round(W.avg_distinct("p_size", w), 6).alias("a")
-    )
+    t = table(spark, d, "part").select("p_partkey", "p_brand", "p_size")
+    return W.with_distinct(t, "p_size", ["p_brand"], "n", "s", "a").select("p_partkey", "n", "s", F.round("a", 6).alias("a"))
 
 
 def win_lag_default(spark: SparkSession, d: str) -> DataFrame:
@@ -71,8 +69,8 @@ def win_lag_default(spark: SparkSession, d: str) -> DataFrame:
 
 
 def win_lag_ignore_nulls(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "events").withColumn("v", F.nullif("event_type", F.lit("error")))
-    return t.select("event_id", W.lag_ignore_nulls("v", 2, Window.partitionBy("user_id").orderBy("event_id")).alias("second_before"))
+    t = table(spark, d, "events").select("event_id", "user_id", F.nullif("event_type", F.lit("error")).alias("v"))
+    return W.with_lag_ignore_nulls(t, "v", 2, ["user_id"], ["event_id"], "second_before").select("event_id", "second_before")
 
 
 def win_nth_from_last(spark: SparkSession, d: str) -> DataFrame:

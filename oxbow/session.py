@@ -56,6 +56,11 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def set_priority(spark: SparkSession, level: str | None) -> None:
+    """Run this thread's queries in the fair-scheduler pool of a priority (low, medium, high), or in the default one."""
+    spark.sparkContext.setLocalProperty("spark.scheduler.pool", level)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """The frame over all cores where its files make fewer tasks than there are cores (small inputs before Python work); else as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -34,6 +34,7 @@ class Meta:
     next_id: int = 1
     checks: list[str] = field(default_factory=list)
     unique: list[list[str]] = field(default_factory=list)
+    foreign: list[dict] = field(default_factory=list)
 
 
 class ConstraintError(ValueError):
@@ -102,6 +103,10 @@ class Table:
         for cols in self.meta.unique:
             if not d.groupBy(*cols).count().filter("count > 1").isEmpty():
                 raise ConstraintError(f"not unique: {cols}")
+        for f in self.meta.foreign:
+            there = Table(self.spark, f["other"])._all().select(*[F.col(o).alias(c) for c, o in zip(f["columns"], f["other_columns"])])
+            if not d.select(*f["columns"]).dropna().join(there, f["columns"], "left_anti").isEmpty():
+                raise ConstraintError(f"no such key: {f['columns']}")
 
     def _commit(self, d: DataFrame, check: bool = True, **changes) -> None:
         nxt = self.meta.generation + 1
@@ -135,6 +140,16 @@ class Table:
                 d = d.withColumn(c["name"], F.expr(c["default"]) if c["default"] is not None else F.lit(None))
         return d.select(*[F.col(c["name"]).cast(c["type"]).alias(c["name"]) for c in self.meta.columns]), next_id
 
+    def add_foreign_key(self, columns: list[str], other: str, other_columns: list[str]) -> None:
+        """FOREIGN KEY to the table in the folder ``other``; checked now and with every change. Null keys are free."""
+        self.meta.foreign = [*self.meta.foreign, {"columns": columns, "other": other, "other_columns": other_columns}]
+        try:
+            self._check(self._all())
+        except ConstraintError:
+            self.meta.foreign = self.meta.foreign[:-1]
+            raise
+        storage.write_text(self.spark, f"{self.path}/_meta.json", json.dumps(asdict(self.meta)))
+
     def insert(self, rows: DataFrame) -> None:
         """INSERT … SELECT / VALUES: missing columns get their default, the auto-increment column its numbers."""
         storage.ensure_checkpoint_dir(self.spark)
@@ -185,6 +200,11 @@ class Table:
             if f.startswith("g") and f != f"g{self.meta.generation}":
                 storage.delete(self.spark, f"{self.path}/{f}")
 
+    def rename_to(self, path: str) -> None:
+        """RENAME TABLE: the folder moves."""
+        storage.move(self.spark, self.path, path)
+        self.path = path
+
     def drop(self) -> None:
         storage.delete(self.spark, self.path)
 

@@ -114,7 +114,7 @@ def test_snapshot_changes(spark):
         for t in rng.sample(range(1, 30), 15):
             for k in [*rng.sample(range(8), rng.randrange(8)), *([None] if rng.random() < 0.3 else []), *([3] if rng.random() < 0.3 else [])]:
                 n += 1
-                rows.append((g, t, k, n, rng.choice(["mysqld", "MySQLd ", "  mysqld", "mys", "exe  mgr", "Exe mgr", None, "other"])))
+                rows.append((g, t, k, n, rng.choice(["server", "SERver ", "  server", "ser", "exe  mgr", "Exe mgr", None, "other"])))
     rows += [(None, 1, 1, 10_000, "x"), (1, None, 1, 10_001, "x")]
     wide = [(*r, "a", "b", "c", "d") for r in rows]  # columns with names used inside
     assert changes(spark, wide) == brute_changes(rows)

@@ -60,6 +60,18 @@ def test_table_rules(spark, tmp_path):
         Table(spark, str(tmp_path / "t"))
 
 
+def test_foreign_key_and_rename(spark, tmp_path):
+    t = make(spark, tmp_path)
+    u = Table.create(spark, str(tmp_path / "u"), [ColumnSpec("id", "int"), ColumnSpec("k", "int")])
+    u.insert(spark.createDataFrame([(1, 1), (2, None)], "id int, k int"))
+    u.add_foreign_key(["k"], t.path, ["k"])
+    with pytest.raises(ConstraintError):
+        u.insert(spark.createDataFrame([(3, 99)], "id int, k int"))
+    u.insert(spark.createDataFrame([(3, 3)], "id int, k int"))
+    u.rename_to(str(tmp_path / "w"))
+    assert Table(spark, str(tmp_path / "w")).df().count() == 3
+
+
 def test_partitions(spark, tmp_path):
     t = make(spark, tmp_path)
     t.disable_partitions("p=a")
