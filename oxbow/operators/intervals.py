@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oxbow.operators.ranks import sliced_row_number
+from oxbow.session import ensure_checkpoint_dir
 
 DAY = 86_400
 
@@ -23,15 +24,18 @@ def interval_periods(df: DataFrame, entity: Column, start: Column, end: Column,
     ``start`` and ``end`` are timestamps without zone, compared by the second: intervals that
     touch in one second are joined. Rows with a null entity or time, and rows whose end
     isn't later than their start, are no intervals. Repeated intervals change nothing.
+    The intervals and the boundaries of periods, both narrow, are written once to the checkpoint folder.
     An entity's rows are cut by day (``slice_seconds``) for ranking, so that an entity with
     a third of all rows is spread over many tasks. An empty input gives an empty result.
     """
+    ensure_checkpoint_dir(df.sparkSession)
     second = lambda c: F.unix_seconds(F.date_trunc("second", c).cast("timestamp"))
     iv = (
         df.select(entity.alias("entity"), start.alias("__a"), end.alias("__b"))
         .filter(F.col("entity").isNotNull() & (F.col("__b") > F.col("__a")))
         .select("entity", second(F.col("__a")).alias("s"), second(F.col("__b")).alias("e"))
         .distinct()
+        .checkpoint()
     )
 
     def ranked(x: DataFrame, c: str, rank: str) -> DataFrame:
@@ -41,7 +45,7 @@ def interval_periods(df: DataFrame, entity: Column, start: Column, end: Column,
     ends = ranked(iv.select("entity", "e"), "e", "k").select("entity", "e", "k")
     # k = number of intervals ended by e; the start of rank k + 1 lies beside it. The first start has no
     # end before it and the last end no start behind it: the outer join keeps them.
-    edge = starts.join(ends, ["entity", "k"], "full_outer").filter(F.col("e").isNull() | F.col("s").isNull() | (F.col("s") > F.col("e")))
+    edge = starts.join(ends, ["entity", "k"], "full_outer").filter(F.col("e").isNull() | F.col("s").isNull() | (F.col("s") > F.col("e"))).checkpoint()
     opens = ranked(edge.filter(F.col("s").isNotNull()).select("entity", "s"), "s", "n")
     closes = ranked(edge.filter(F.col("e").isNotNull()).select("entity", "e"), "e", "n")
     kind = lambda k, a, b: F.struct(F.lit(k).alias("span_kind"), a.alias("from_s"), b.alias("to_s"))
