@@ -10,6 +10,7 @@ score is the sum of -ln of the tails in which junk lies.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -36,44 +37,90 @@ HOT = 0.01
 
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 PLAIN = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
+APOSTROPHE = re.compile("['\u2019]")
+SYMBOL = re.compile(r"[^\w\s]|_")
+#: Tokens whose reading a Python worker keeps; emptied when full.
+MAX_KNOWN = 200_000
 LINES = re.compile(r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
 QUOTE = re.compile(r"^(?:\s*>)+\s?")
-ENDS = re.compile(r"[.!?…:][\"»”’')\]]*\s*$")
+CLOSERS = "\"'\u00bb\u201d\u2019)]"
+ENDS = (".", "!", "?", "\u2026", ":")
 MARK = re.compile(r"^\s*(?:[-*+•–·‣◦]|\d+[.)]|\[[ xX]?\]|#\d+|\(?\d+\)|[a-z][.)])\s+")
 EDGES = "\"'\u2019\u2018\u201c\u201d\u00ab\u00bb()[]{}<>.,;:!?\u00bf\u00a1\u2026*_~`|/\\-\u2013\u2014\u2022\u200b\ufeff\u00a0"
 
 
-def text_stats(text: str, common: dict[str, frozenset[str]]) -> tuple:
-    """The statistics of a text in the order of STATS.
+class TextStats:
+    """The statistics of texts in the order of STATS, by common words per language.
 
     n_words: runs of letters (with inner apostrophes); mean_word_length in letters; symbol_share: of the
     characters that aren't white space, those neither letter nor digit; end_share: non-blank lines ending in
-    . ! ? : or …; common_share: of the blank-separated tokens, those among the common words of the
-    best-fitting language; marked_share: lines that begin with a bullet, number or box; plain_share: tokens
-    that are words of letters alone; variety: distinct tokens over the root of their number.
+    . ! ? : or \u2026; common_share: of the blank-separated tokens (cut at apostrophes), those among the common words of
+    the best-fitting language; marked_share: lines that begin with a bullet, number or box; plain_share: tokens that
+    are words of letters alone; variety: distinct tokens over the root of their number. Quote marks before lines
+    don't count.
     """
-    lines = [x for x in (QUOTE.sub("", y) for y in LINES.split(text)) if x.strip()]
-    n_lines = max(1, len(lines))
-    words = WORD.findall(text)
-    letters = sum(map(len, words))
-    solid = "".join(text.split())
-    symbols = sum(1 for c in solid if not c.isalnum())
-    tokens = [y for y in (x.strip(EDGES) for x in text.lower().split()) if y]
-    n_all = len(text.split())
-    plain = [x for x in tokens if PLAIN.fullmatch(x)]
-    parts = [p for x in plain for p in re.split("['’]", x)] if any("'" in x or "’" in x for x in plain) else plain
-    n_parts = len(tokens) - len(plain) + len(parts)
-    hits = max((sum(1 for x in parts if x in c) for c in common.values()), default=0)
-    return (
-        len(words), letters / max(1, len(words)), symbols / max(1, len(solid)), sum(1 for x in lines if ENDS.search(x)) / n_lines,
-        hits / max(1, n_parts), sum(1 for x in lines if MARK.match(x)) / n_lines, len(plain) / max(1, n_all), len(set(tokens)) / max(1, len(tokens)) ** 0.5,
-    )
+
+    def __init__(self, common: dict[str, frozenset[str]]):
+        self.languages = len(common)
+        self.of: dict[str, tuple[int, ...]] = {}
+        for i, words in enumerate(common.values()):
+            for w in words:
+                self.of[w] = (*self.of.get(w, ()), i)
+        self.known: dict[str, tuple[str, int, int, tuple[int, ...]] | None] = {}
+
+    def token(self, raw: str) -> tuple[str, int, int, tuple[int, ...]] | None:
+        """Of a blank-separated token: without the marks around it, its parts, 1 if plain, the languages that have its parts."""
+        x = raw.strip(EDGES)
+        if not x:
+            made = None
+        elif PLAIN.fullmatch(x):
+            parts = APOSTROPHE.split(x)
+            made = (x, len(parts), 1, tuple(i for p in parts for i in self.of.get(p, ())))
+        else:
+            made = (x, 1, 0, ())
+        if len(raw) <= 40:
+            if len(self.known) >= MAX_KNOWN:
+                self.known.clear()
+            self.known[raw] = made
+        return made
+
+    def __call__(self, text: str) -> tuple:
+        n_lines = ends = marked = 0
+        for x in LINES.split(text):
+            if ">" in x:
+                x = QUOTE.sub("", x)
+            if x and not x.isspace():
+                n_lines += 1
+                ends += x.rstrip().rstrip(CLOSERS).endswith(ENDS)
+                marked += MARK.match(x) is not None
+        words = WORD.findall(text)
+        raw = text.lower().split()
+        known = self.known
+        hits = [0] * self.languages
+        seen = set()
+        n_tokens = n_parts = plain = 0
+        for t, times in Counter(raw).items():
+            made = known[t] if t in known else self.token(t)
+            if made is not None:
+                x, k, p, langs = made
+                n_tokens += times
+                n_parts += k * times
+                plain += p * times
+                seen.add(x)
+                for i in langs:
+                    hits[i] += times
+        solid = sum(map(len, text.split()))
+        return (
+            len(words), sum(map(len, words)) / max(1, len(words)), len(SYMBOL.findall(text)) / max(1, solid), ends / max(1, n_lines),
+            max(hits, default=0) / max(1, n_parts), marked / max(1, n_lines), plain / max(1, len(raw)), len(seen) / max(1, n_tokens) ** 0.5,
+        )
 
 
 def _stats_pass(common):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stats = TextStats(common)
         for b in batches:
-            rows = [text_stats(t, common) for t in b.column(2).to_pylist()]
+            rows = [stats(t) for t in b.column(2).to_pylist()]
             cols = [pa.array([int(r[0]) for r in rows], pa.int64())]
             cols += [pa.array([round(float(r[i]), 4) for r in rows], pa.float64()) for i in range(1, len(STATS))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["key", "lang", *STATS])
