@@ -44,8 +44,12 @@ MAX_KNOWN = 200_000
 LINES = re.compile(r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
 QUOTE = re.compile(r"^(?:\s*>)+\s?")
 CLOSERS = "\"'\u00bb\u201d\u2019)]"
-ENDS = (".", "!", "?", "\u2026", ":")
-MARK = re.compile(r"^\s*(?:[-*+•–·‣◦]|\d+[.)]|\[[ xX]?\]|#\d+|\(?\d+\)|[a-z][.)])\s+")
+ENDS = (".", "!", "?", "\u2026", ":", "\u3002")
+MARK = re.compile(
+    r"^\s*(?:(?:[-*+\u2022\u2013\u00b7\u2023\u25e6]|\d+[.)]|\[[ xX]?\]|#\d+|\(?\d+\)|[a-z][.)])\s"  # bullets, numbers, boxes
+    r"|[\w./-]*[_./\d][\w./-]*\s*[:=](?:\s|$)"  # an identifier and its value
+    r"|[\w./\\-]*[_/\\\d][\w./\\-]*[\w/\\]\s*$)"  # an identifier or a path alone
+)
 EDGES = "\"'\u2019\u2018\u201c\u201d\u00ab\u00bb()[]{}<>.,;:!?\u00bf\u00a1\u2026*_~`|/\\-\u2013\u2014\u2022\u200b\ufeff\u00a0"
 
 
@@ -54,8 +58,9 @@ class TextStats:
 
     n_words: runs of letters (with inner apostrophes); mean_word_length in letters; symbol_share: of the
     characters that aren't white space, those neither letter nor digit; end_share: non-blank lines ending in
-    . ! ? : or \u2026; common_share: of the blank-separated tokens (cut at apostrophes), those among the common words of
-    the best-fitting language; marked_share: lines that begin with a bullet, number or box; plain_share: tokens that
+    . ! ? : \u2026 or \u3002; common_share: of the blank-separated tokens (cut at apostrophes), those among the common words of
+    the best-fitting language; marked_share: lines that begin with a bullet, number or box, or
+    are an identifier, alone or with its value; plain_share: tokens that
     are words of letters alone; variety: distinct tokens over the root of their number. Quote marks before lines
     don't count.
     """
@@ -218,7 +223,7 @@ def no_prose(scored: DataFrame) -> DataFrame:
     """
     c = F.col
     few = (c("common_share") < 0.22) & ((c("plain_share") < 0.85) | (c("end_share") == 0))
-    mixed = (c("common_share") < 0.34) & (c("plain_share") < 0.76)
+    mixed = (c("common_share") < 0.34) & (c("plain_share") < 0.76) & (c("end_share") < 0.3)
     same = (c("variety") < 1.2) & (c("n_words") >= 20)
     return scored.filter(c("score") >= MIN_SCORE).filter((c("marked_share") > 0.5) | same | few | mixed)
 
