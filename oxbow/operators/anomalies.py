@@ -52,6 +52,7 @@ class Model:
     widen: float = 2.0  # emission spread of normal readings against the robust spread: lets the level drift
     half_window: int = 7
     max_spike: int = 3
+    min_side: int = 3  # readings on a side of a spike that tell the level there
     min_stuck: int = 10
     max_repeat: float = 0.2  # of a source's other neighbours, the share that may be equal if a run is to be stuck
     min_others: int = 8
@@ -136,12 +137,12 @@ def flag_series(v: np.ndarray, snap: np.ndarray, n: np.ndarray, least: np.ndarra
     spread = np.maximum(spread, resolution)
     z = resid / spread[:, None]
     span = np.maximum(np.nanmax(np.where(seen, v, np.nan), axis=1) - np.nanmin(np.where(seen, v, np.nan), axis=1), 10 * spread)
-    # emissions: normal = wide Gaussian x chance of a repetition, spike = anywhere in the source's range (repeated or not), stuck = repetition
+    # emissions: normal = wide Gaussian x chance of a repetition, spike = anywhere in the source's range (repeated or not), stuck = repetition of any value
     r = np.clip(rate, 0.02, 0.98)[:, None]
     sd = m.widen * spread[:, None]
     gauss = -0.5 * (np.nan_to_num(resid) / sd) ** 2 - np.log(sd * np.sqrt(2 * np.pi))
     anywhere = np.broadcast_to(-np.log(span)[:, None], gauss.shape)
-    b = np.stack([gauss + np.where(equal, np.log(r), np.log(1 - r)), anywhere + np.log(0.5), np.where(equal, 0.0, np.log(1e-4)) + anywhere], axis=2)
+    b = np.stack([gauss + np.where(equal, np.log(r), np.log(1 - r)), anywhere + np.log(0.5), np.where(equal, 0.0, np.log(1e-4)) + np.maximum(gauss, anywhere)], axis=2)
     stick = np.where(may_stick, m.p_stuck, 1e-30)[:, None]
     one = np.ones((rows, 1))
     normal = np.concatenate([1 - m.p_spike - stick, one * m.p_spike, stick], axis=1)
@@ -149,7 +150,8 @@ def flag_series(v: np.ndarray, snap: np.ndarray, n: np.ndarray, least: np.ndarra
     p = _posterior(b, np.log(a), np.log(normal), seen)
     far = seen & (np.abs(resid) >= least[:, None]) & (np.abs(z) >= m.least_z)
     spike = far & (p[..., 1] >= 0.5)
-    # a run of far readings over more snapshots than a spike may last is a change of level
+    # A run of far readings over more snapshots than a spike may last is a change of level, and so is one that
+    # is near the level on either side of it.
     joined = np.zeros_like(spike)
     joined[:, 1:] = spike[:, 1:] & spike[:, :-1]
     _, sid = _runs(joined)
@@ -158,12 +160,21 @@ def flag_series(v: np.ndarray, snap: np.ndarray, n: np.ndarray, least: np.ndarra
             at = spike[i] & (sid[i] == k)
             if len(np.unique(snap[i][at])) > m.max_spike:
                 spike[i][at] = False
+                continue
+            where = np.flatnonzero(at)
+            enough = max(float(least[i]), m.least_z * float(spread[i]))
+            for side in (v[i, max(0, where[0] - m.half_window) : where[0]], v[i, where[-1] + 1 : min(int(n[i]), where[-1] + 1 + m.half_window)]):
+                if len(side) >= m.min_side:
+                    spike[i][where] &= np.abs(v[i, where] - np.median(side)) >= enough
     stuck = seen & (p[..., 2] >= 0.5) & (length >= m.min_stuck) & may_stick[:, None]
     for i in np.flatnonzero(stuck.any(axis=1)):
         for k in np.unique(rid[i][stuck[i]]):
             at = stuck[i] & (rid[i] == k)
             whole = seen[i] & (rid[i] == k)
-            if len(np.unique(snap[i][whole])) < m.min_stuck:
+            value = v[i][whole][0]
+            # idle sources rest at zero: a zero is stuck only where readings are otherwise far from it
+            idle = value == 0 and np.median(v[i][seen[i] & (rid[i] != k)]) < least[i]
+            if idle or len(np.unique(snap[i][whole])) < m.min_stuck:
                 stuck[i][at] = False
             else:
                 stuck[i][whole] = True

@@ -160,6 +160,10 @@ def test_spikes():
     x[10] = 8.0  # below the least size
     assert series(x) == ([], [])
     assert series([50.0, 41.0, 60.0]) == ([], [])
+    assert series(noisy(5, 137, 8) + noisy(60, 235, 12, 1)) == ([], [])  # a change of level near the start
+    x = noisy(60, 235, 12)
+    x[0] = 500.0
+    assert series(x) == ([0], [])
     assert series([3.0]) == ([], [])
 
 
@@ -171,6 +175,11 @@ def test_stuck():
     x[20:29] = [41.3] * 9  # nine are too few
     assert series(x)[1] == []
     assert series([0.0] * 60 + [0.3, 0.0, 0.7] + [0.0] * 30)[1] == []  # idle
+    assert series([0.3, 0.7, 0.0, 0.4, 1.0, 0.3, 0.7, 0.3, 0.9, 0.4] + [0.0] * 15)[1] == []
+    x = noisy(80, 500_000, 6_000)
+    x[20:40] = [501_234.0] * 20
+    x[60] = 3_000_000.0  # a spike doesn't hide what is stuck
+    assert series(x, least=50_000.0, resolution=1_000.0, usual=0.02) == ([60], list(range(20, 40)))
     assert series([2.0] * 40)[1] == []  # there are no other readings
 
 
