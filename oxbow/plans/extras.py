@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oxbow.functions import udf
+from oxbow.functions.dialect import warehouse_sql
 from oxbow.session import register_views, table
 from oxbow.sources.location import explain_text
 from oxbow.streaming.events import stream_event_windows, windowed_counts
@@ -41,8 +42,29 @@ def agg_approx(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").groupBy("o_orderstatus").agg(F.approx_count_distinct("o_custkey").alias("customers"), F.percentile_approx("o_totalprice", 0.5).alias("median"))
 
 
-QUERIES = {f.__name__: f for f in (udf_expression, udf_vectorised, explain_plan, event_windows, stream_event_windows, agg_approx)}
-ORACLE = {
+#: Statements as the warehouse's users write them, with their twins.
+DIALECT = {
+    "dialect_group_concat": ("SELECT n_regionkey, GROUP_CONCAT(DISTINCT n_name ORDER BY n_name DESC SEPARATOR '; ') AS names FROM nation GROUP BY n_regionkey",
+                             "SELECT n_regionkey, string_agg(DISTINCT n_name, '; ' ORDER BY n_name DESC) AS names FROM nation GROUP BY n_regionkey"),
+    "dialect_limit": ("SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5, 10;", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5"),
+    "dialect_dates": ("SELECT event_id, DATE_FORMAT(ts, '%d.%m.%Y %H:%i') AS a, WEEK(ts, 3) AS w, DATE_ADD(ts, INTERVAL 3 DAY) AS b, TO_DAYS(DATE(ts)) AS c FROM events",
+                      "SELECT event_id, strftime(ts, '%d.%m.%Y %H:%M') AS a, CAST(week(ts) AS INT) AS w, ts + INTERVAL 3 DAY AS b, CAST(CAST(ts AS DATE) - DATE '1970-01-01' AS BIGINT) + 719528 AS c FROM events"),
+    "dialect_strings": ("SELECT p_partkey, SUBSTRING(p_name, 2, 3) AS a, ELT(p_size % 3, 'x', 'y') AS b, CONCAT_WS('/', p_brand, NULLIF(p_type, 'SMALL')) AS c, LENGTH(p_name) AS d, TRUNCATE(p_retailprice, -1) AS e FROM part WHERE p_name REGEXP '^red'",
+                        "SELECT p_partkey, substring(p_name, 2, 3) AS a, CASE p_size % 3 WHEN 1 THEN 'x' WHEN 2 THEN 'y' END AS b, concat_ws('/', p_brand, nullif(p_type, 'SMALL')) AS c, strlen(p_name) AS d, CAST(trunc(CAST(p_retailprice AS DECIMAL(12,2)) / 10) AS DOUBLE) * 10 AS e FROM part WHERE p_name LIKE 'red%'"),
+    "dialect_xor": ("SELECT o_orderkey FROM orders WHERE (o_orderstatus = 'F') XOR (o_totalprice > 250000)", "SELECT o_orderkey FROM orders WHERE (o_orderstatus = 'F') <> (o_totalprice > 250000)"),
+}
+
+
+def _dialect(text: str):
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        register_views(spark, d, "nation", "orders", "events", "part")
+        return warehouse_sql(spark, text)
+
+    return query
+
+
+QUERIES = {f.__name__: f for f in (udf_expression, udf_vectorised, explain_plan, event_windows, stream_event_windows, agg_approx)} | {n: _dialect(x) for n, (x, _) in DIALECT.items()}
+ORACLE = {n: y for n, (_, y) in DIALECT.items()} | {
     "udf_expression": "SELECT p_partkey, p_size + p_retailprice AS added, nullif(p_type, 'SMALL') IS NULL AS nothing FROM part",
     "udf_vectorised": "SELECT p_partkey, p_retailprice * 2 AS v FROM part",
     "explain_plan": "SELECT TRUE AS pushed, TRUE AS pruned",

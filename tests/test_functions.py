@@ -104,3 +104,28 @@ def test_every_interval_unit(spark):
     assert there["MONTH"] == datetime.datetime(2020, 3, 31, 1, 2, 3) and there["DAY_SECOND"] == datetime.datetime(2020, 2, 1, 2, 3, 4)
     assert there["SECOND_MICROSECOND"] == datetime.datetime(2020, 1, 31, 1, 2, 4, 100000)
     assert all(x is not None for x in there)
+
+
+DIALECT = [
+    ("SELECT a FROM t LIMIT 5, 10", "SELECT a FROM t LIMIT 10 OFFSET 5"),
+    ("SELECT INET_ATON(ip), 'WEEK(d)' FROM t -- WEEK(d)", "SELECT ox_inet_aton(ip), 'WEEK(d)' FROM t -- WEEK(d)"),
+    ("SELECT CONCAT_WS(',', ELT(2, 'a', 'b'), x)", "SELECT ox_concat_ws(',', array(ox_elt(2, array('a', 'b')), x))"),
+    ("SELECT DATE_SUB(d, INTERVAL 1 MONTH)", "SELECT (d - INTERVAL 1 MONTH)"),
+    ("SELECT GREATEST(a, b, c)", "SELECT ox_greatest(ox_greatest(a, b), c)"),
+    ("SELECT `left` FROM t WHERE a = 1", "SELECT `left` FROM t WHERE a = 1"),
+    ("SELECT a FROM t LEFT JOIN s ON t.a = s.a", "SELECT a FROM t LEFT JOIN s ON t.a = s.a"),
+    ("INSERT INTO t (a) VALUES (1)", "INSERT INTO t (a) VALUES (1)"),
+]
+
+
+@pytest.mark.parametrize("text,want", DIALECT)
+def test_dialect(text, want):
+    from oxbow.functions.dialect import translate
+
+    assert translate(text) == want
+
+
+def test_dialect_format(one):
+    from oxbow.functions.dialect import translate
+
+    assert one(translate("DATE_FORMAT(TIMESTAMP_NTZ '2009-01-03 14:05:06', '%a %D %M %Y, %k:%i %% it''s %u/%x')")) == "Sat 3rd January 2009, 14:05 % it''s 01/2009"
