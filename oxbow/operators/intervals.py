@@ -29,7 +29,9 @@ def interval_periods(df: DataFrame, entity: Column, start: Column, end: Column,
     a third of all rows is spread over many tasks. An empty input gives an empty result.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    second = lambda c: F.unix_seconds(F.date_trunc("second", c).cast("timestamp"))
+    # by calendar day and time of day: no time zone has a say
+    epoch = F.lit("1970-01-01").cast("date")
+    second = lambda c: F.datediff(c.cast("date"), epoch).cast("long") * DAY + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
     iv = (
         df.select(entity.alias("entity"), start.alias("__a"), end.alias("__b"))
         .filter(F.col("entity").isNotNull() & (F.col("__b") > F.col("__a")))
@@ -51,7 +53,11 @@ def interval_periods(df: DataFrame, entity: Column, start: Column, end: Column,
     kind = lambda k, a, b: F.struct(F.lit(k).alias("span_kind"), a.alias("from_s"), b.alias("to_s"))
     periods = opens.join(closes, ["entity", "n"]).select("entity", kind("period", F.col("s"), F.col("e")).alias("x"))
     gaps = edge.filter(F.col("s").isNotNull() & F.col("e").isNotNull()).select("entity", kind("gap", F.col("e"), F.col("s")).alias("x"))
-    text = lambda c: F.date_format(F.timestamp_seconds(c), "yyyy-MM-dd HH:mm:ss")
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    of_day = lambda c: F.pmod(c, F.lit(DAY))
+    text = lambda c: F.concat(
+        F.date_add(epoch, F.floor(c / DAY).cast("int")).cast("string"), F.lit(" "), two(F.floor(of_day(c) / 3600)), F.lit(":"), two(F.floor(of_day(c) / 60) % 60), F.lit(":"), two(of_day(c) % 60)
+    )
     return periods.unionByName(gaps).select(
         "entity", F.col("x.span_kind").alias("span_kind"), text(F.col("x.from_s")).alias("from_time"), text(F.col("x.to_s")).alias("to_time")
     )

@@ -194,3 +194,13 @@ def test_implausible_rows(spark):
         got = sorted((r["id"], r["kind"]) for r in implausible_readings(df, "id", "snap", spec, model).collect())
         assert got == [(10, "spike"), (100, "spike"), (101, "impossible"), (102, "impossible"), (104, "impossible")]
     assert implausible_readings(df.limit(0), "id", "snap", spec).count() == 0
+
+
+def test_periods_know_no_time_zone(spark):
+    was = spark.conf.get("spark.sql.session.timeZone")
+    rows = [("d", datetime.datetime(2014, 3, 9, 1, 59), datetime.datetime(2014, 3, 9, 2, 30)), ("d", datetime.datetime(2014, 3, 9, 2, 45), datetime.datetime(2014, 3, 9, 3, 10)), ("e", datetime.datetime(1969, 12, 31, 23, 59, 58), datetime.datetime(1970, 1, 1))]
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        assert periods(spark, rows) == brute_periods(rows)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", was)
