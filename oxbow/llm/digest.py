@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oxbow.llm.quality import exact_ranks
-from oxbow.session import ensure_checkpoint_dir, table
+from oxbow.session import ensure_checkpoint_dir, spread, table
 
 DELTA = 1000
 #: Stands for the null group where ranks are joined.
@@ -157,7 +157,7 @@ def merge(digests: DataFrame, keep_day: bool, delta: int = DELTA) -> DataFrame:
 def daily_digests(df: DataFrame, group: Column, day: Column, fields: list[str], delta: int = DELTA) -> DataFrame:
     """One digest per field, group and day (SCHEMA). Null values are none; null groups and days are groups."""
     src = df.select(group.cast("string").alias("__grp"), day.cast("date").alias("__day"), *[F.col(f).cast("double").alias(f) for f in fields])
-    return merge(src.mapInPandas(_partial(delta), SCHEMA), keep_day=True, delta=delta)
+    return merge(spread(src).mapInPandas(_partial(delta), SCHEMA), keep_day=True, delta=delta)
 
 
 def _estimates(qs: tuple[float, ...]):
