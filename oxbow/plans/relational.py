@@ -51,7 +51,7 @@ FROM (SELECT {N} AS v FROM orders) x""",
     "join_outer_on_filter": "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 495000 WHERE c_acctbal > 9000",
     "join_residual": "SELECT o_orderkey, l_partkey, l_suppkey, l_linenumber FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND l_shipdate > o_orderdate AND l_quantity * 10000 > o_totalprice",
     "join_expr_key": "SELECT s_suppkey, n_name FROM supplier JOIN nation ON (s_nationkey + 1) % 25 = n_nationkey",
-    "join_compound_key": "SELECT a.l_orderkey AS a_order, b.l_quantity AS qty FROM lineitem a JOIN (SELECT l_orderkey, l_partkey, max(l_quantity) AS l_quantity FROM lineitem GROUP BY l_orderkey, l_partkey) b ON a.l_orderkey = b.l_orderkey AND a.l_partkey = b.l_partkey AND a.l_quantity = b.l_quantity WHERE a.l_orderkey < 2000",
+    "join_compound_key": "SELECT a.l_orderkey AS a_order, b.l_quantity AS qty FROM lineitem a JOIN (SELECT l_orderkey, l_partkey, max(l_quantity) AS l_quantity FROM lineitem GROUP BY l_orderkey, l_partkey) b ON a.l_orderkey = b.l_orderkey AND a.l_partkey = b.l_partkey AND a.l_quantity = b.l_quantity",
     "join_string_key": "SELECT a.p_partkey AS p1, b.p_partkey AS p2 FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey",
     "join_self": "SELECT a.n_name AS a_name, b.n_name AS b_name FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
     "join_unsigned": ("SELECT o_orderkey, c_custkey FROM orders JOIN customer ON CAST(o_custkey AS DECIMAL(20,0)) = CAST(c_custkey AS DECIMAL(20,0)) WHERE o_totalprice > 495000",
