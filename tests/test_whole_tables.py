@@ -31,3 +31,8 @@ def test_compound_key_join_of_all_lines(spark, more):
         top[k] = max(top.get(k, x["l_quantity"]), x["l_quantity"])
     want = [(x["l_orderkey"], x["l_quantity"]) for x in lines if x["l_quantity"] == top[x["l_orderkey"], x["l_partkey"]]]
     assert spark_rows(QUERIES["join_compound_key"](spark, more)) == rows(["a_order", "qty"], want)
+
+
+def test_arithmetic_over_all_lines(spark, more):
+    keys = [(x["l_orderkey"], x["l_linenumber"], -x["l_quantity"]) for x in read(more, "lineitem", "l_orderkey", "l_linenumber", "l_quantity")]
+    assert spark_rows(QUERIES["proj_arith"](spark, more).select("l_orderkey", "l_linenumber", "neg")) == rows(["l_orderkey", "l_linenumber", "neg"], keys)
