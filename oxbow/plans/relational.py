@@ -89,7 +89,7 @@ FROM (SELECT {N} AS v FROM orders) x""",
     # order, limit, top-k
     "sort_full": "SELECT c_custkey, c_nationkey, c_acctbal FROM customer ORDER BY c_nationkey, c_acctbal DESC, c_custkey",
     "sort_by_position": "SELECT n_regionkey, n_name FROM nation ORDER BY 1 DESC, 2",
-    "sort_nulls": f"SELECT o_orderkey, {N} AS p FROM orders WHERE o_orderkey < 500 ORDER BY p ASC NULLS FIRST, o_orderkey",
+    "sort_nulls": f"SELECT o_orderkey, {N} AS p FROM orders ORDER BY p ASC NULLS FIRST, o_orderkey",
     "topk": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25",
     "topk_offset": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 15",
     "topk_zero": "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 0",

@@ -36,3 +36,9 @@ def test_compound_key_join_of_all_lines(spark, more):
 def test_arithmetic_over_all_lines(spark, more):
     keys = [(x["l_orderkey"], x["l_linenumber"], -x["l_quantity"]) for x in read(more, "lineitem", "l_orderkey", "l_linenumber", "l_quantity")]
     assert spark_rows(QUERIES["proj_arith"](spark, more).select("l_orderkey", "l_linenumber", "neg")) == rows(["l_orderkey", "l_linenumber", "neg"], keys)
+
+
+def test_nulls_first_over_all_orders(spark, more):
+    orders = [(x["o_orderkey"], x["o_orderpriority"]) for x in read(more, "orders", "o_orderkey", "o_orderpriority")]
+    want = sorted(((k, None if p == "3-MEDIUM" else p) for k, p in orders), key=lambda r: (r[1] is not None, r[1] or "", r[0]))
+    assert [tuple(r) for r in QUERIES["sort_nulls"](spark, more).collect()] == want
