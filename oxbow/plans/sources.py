@@ -74,7 +74,7 @@ def _orders(spark: SparkSession, d: str, partition: bool = False) -> Table:
 
 def dml_insert(spark: SparkSession, d: str) -> DataFrame:
     t = _orders(spark, d)
-    t.insert(table(spark, d, "orders").filter("o_orderkey < 100").select((-F.col("o_orderkey") - 1).alias("o_orderkey"), "o_custkey"))
+    t.insert(table(spark, d, "orders").select((-F.col("o_orderkey") - 1).alias("o_orderkey"), "o_custkey"))
     return t.df()
 
 
@@ -148,7 +148,7 @@ def partition_drop_by_value(spark: SparkSession, d: str) -> DataFrame:
 def table_redistribute(spark: SparkSession, d: str) -> DataFrame:
     t = _orders(spark, d)
     t.redistribute(4, cluster_by=["o_orderkey"])
-    return t.df().filter("o_orderkey BETWEEN 100 AND 200")
+    return t.df()
 
 
 def location_columns(spark: SparkSession, d: str) -> DataFrame:
@@ -175,7 +175,7 @@ WHERE reason IS NOT NULL GROUP BY reason""",
     "io_job_spec": "SELECT p_partkey, CAST(CASE WHEN p_size > 25 THEN p_size ELSE -1 END AS INT) AS p_size, p_type, 'b1' AS batch FROM part",
     "io_formats": "SELECT p_partkey, p_size, p_type FROM part",
     "io_foreign_scan": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 450000",
-    "dml_insert": BASE + " UNION ALL SELECT -o_orderkey - 1, o_custkey, 'N', NULL FROM orders WHERE o_orderkey < 100",
+    "dml_insert": BASE + " UNION ALL SELECT -o_orderkey - 1, o_custkey, 'N', NULL FROM orders",
     "dml_update": "SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 = 0 AND o_orderstatus = 'F' THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 3 = 0 AND o_orderstatus = 'F' THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice FROM orders",
     "dml_delete": BASE + " WHERE NOT (o_totalprice > 250000 OR o_orderstatus = 'P')",
     "dml_delete_exists": BASE + " WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal < 5000)",
@@ -186,7 +186,7 @@ WHERE reason IS NOT NULL GROUP BY reason""",
     "partition_disable": BASE + " WHERE o_orderstatus <> 'F'",
     "partition_drop": BASE + " WHERE o_orderstatus <> 'O'",
     "partition_drop_by_value": BASE + " WHERE o_orderstatus <> 'O'",
-    "table_redistribute": BASE + " WHERE o_orderkey BETWEEN 100 AND 200",
+    "table_redistribute": BASE,
     "location_columns": "SELECT o_orderkey, TRUE AS has_file FROM orders",
     "location_extents": "SELECT 'o_orderkey' AS \"column\", min(o_orderkey) AS low, max(o_orderkey) AS high, CAST(count(*) AS BIGINT) AS n_rows FROM orders",
 }

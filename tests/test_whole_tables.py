@@ -42,3 +42,11 @@ def test_nulls_first_over_all_orders(spark, more):
     orders = [(x["o_orderkey"], x["o_orderpriority"]) for x in read(more, "orders", "o_orderkey", "o_orderpriority")]
     want = sorted(((k, None if p == "3-MEDIUM" else p) for k, p in orders), key=lambda r: (r[1] is not None, r[1] or "", r[0]))
     assert [tuple(r) for r in QUERIES["sort_nulls"](spark, more).collect()] == want
+
+
+def test_redistributed_and_inserted_orders_are_whole(spark, more):
+    columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]
+    orders = [tuple(x[c] for c in columns) for x in read(more, "orders", *columns)]
+    assert spark_rows(QUERIES["table_redistribute"](spark, more)) == rows(columns, orders)
+    new = [(-k - 1, c, "N", None) for k, c, _, _ in orders]
+    assert spark_rows(QUERIES["dml_insert"](spark, more)) == rows(columns, orders + new)
