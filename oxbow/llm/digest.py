@@ -176,8 +176,8 @@ def group_percentiles(df: DataFrame, group: Column, day: Column, fields: list[st
     """grp, field, n, q, estimate, rank_error: the percentiles of each group over all days.
 
     rank_error is counted over all values: the distance from q to the nearest rank that the estimate
-    holds (0 if values equal to it cover q), a share of the group's values. An estimate whose error is above ``error`` is
-    replaced by the exact percentile of its group, found by exact ranks of its values. Null values are none; a
+    holds (0 if values equal to it cover q), a share of the group's values. An estimate whose error is above ``error``, or above
+    both that share of its smaller tail, error * min(q, 1 - q), and one value, is replaced by the exact percentile of its group, found by exact ranks of its values. Null values are none; a
     null group is a group. An empty input gives an empty result.
     """
     ensure_checkpoint_dir(df.sparkSession)
@@ -201,8 +201,9 @@ def group_percentiles(df: DataFrame, group: Column, day: Column, fields: list[st
     target = F.col("q") * F.col("n")
     off = F.greatest(F.lit(0.0), F.col("lt") - target, target - F.col("le")) / F.col("n")
     certified = out.select("grp", "field", "n", "q", F.element_at("estimates", F.col("i") + 1).alias("estimate"), off.alias("rank_error")).checkpoint()
-    good = certified.filter(F.col("rank_error") <= error)
-    bad = certified.filter(F.col("rank_error") > error)
+    allowed = F.least(F.lit(error), F.greatest(error * F.least(F.col("q"), 1 - F.col("q")), 1 / F.col("n")))
+    good = certified.filter(F.col("rank_error") <= allowed)
+    bad = certified.filter(F.col("rank_error") > allowed)
     if bad.isEmpty():
         return good
     return good.unionByName(_exact(df, group, bad))

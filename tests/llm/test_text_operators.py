@@ -115,6 +115,18 @@ def test_percentiles(spark):
             assert off <= 0.002 + 1e-12 and abs(off - r["rank_error"]) < 1e-9
 
 
+def test_percentiles_of_the_tails(spark):
+    """A coarse digest misses the tails; what it misses is repaired by the share of the tail, not of all values."""
+    values = np.random.default_rng(7).pareto(1.0, 20_000)
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    got = digest.group_percentiles(df, F.lit("a"), F.lit("2024-01-01").cast("date"), ["v"], (0.001, 0.5, 0.99, 0.999), delta=20).collect()
+    s, n = np.sort(values), len(values)
+    assert len(got) == 4
+    for r in got:
+        off = max(0, np.searchsorted(s, r["estimate"], "left") - r["q"] * n, r["q"] * n - np.searchsorted(s, r["estimate"], "right"))
+        assert off <= max(0.002 * min(r["q"], 1 - r["q"]) * n, 1) + 1e-6, r
+
+
 # duplicates
 def test_hidden_duplicates(spark):
     writings = ["select a, b from t where x = {0} and y = 1", "SELECT b,a FROM `t` WHERE y=1 AND (x={0});", "select a,b\nfrom t where (x = {0}) and y = 1", "select a from t where x = {0}"]
