@@ -26,8 +26,6 @@ TAILS = {
     "marked_share": "high", "plain_share": "low", "variety": "low",
 }
 STATS = ["n_words", *TAILS]
-#: Outlier score from which a document is looked at (the sum of seven -ln of tail probabilities; a middling document has about 4).
-MIN_SCORE = 5.0
 #: Ranks over all languages; a document of unknown language is held against them.
 EVERYONE = "*"
 #: The most words the list of common words may have: it goes to every executor.
@@ -214,10 +212,11 @@ def outlier_scores(stats: DataFrame, key: str = "doc_id") -> DataFrame:
     return rows.join(total, "__row").drop("__row")
 
 
-def no_prose(scored: DataFrame) -> DataFrame:
-    """Of documents with an outlier score, those that are lists, tables or junk.
+def no_prose(stats: DataFrame) -> DataFrame:
+    """Of documents with their statistics, those that are lists, tables or junk.
 
-    The score picks who is looked at. Then a document is none of prose if most lines are list items, if
+    Every document is looked at, whatever its outlier score: that depends on how rare such documents are in their
+    language, and where most are junk, or there are one or two, none is an outlier. A document is none of prose if most lines are list items, if
     it says the same few words over and over, or if its tokens are hardly words: few common ones, or
     few of letters alone. Prose in a language without list of common words has plain words and sentence ends.
     """
@@ -225,17 +224,17 @@ def no_prose(scored: DataFrame) -> DataFrame:
     few = (c("common_share") < 0.22) & ((c("plain_share") < 0.85) | (c("end_share") == 0))
     mixed = (c("common_share") < 0.34) & (c("plain_share") < 0.76) & (c("end_share") < 0.3)
     same = (c("variety") < 1.2) & (c("n_words") >= 20)
-    return scored.filter(c("score") >= MIN_SCORE).filter((c("marked_share") > 0.5) | same | few | mixed)
+    return stats.filter((c("marked_share") > 0.5) | same | few | mixed)
 
 
-def _scored(spark: SparkSession, d: str) -> DataFrame:
-    return outlier_scores(document_stats(table(spark, d, "documents"), table(spark, d, "common_words")))
+def _stats(spark: SparkSession, d: str) -> DataFrame:
+    return document_stats(table(spark, d, "documents"), table(spark, d, "common_words"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return no_prose(_scored(spark, d)).select("doc_id")
+    return no_prose(_stats(spark, d)).select("doc_id")
 
 
 def p10_stats(spark: SparkSession, d: str) -> DataFrame:
     """The statistics and the outlier score of every text."""
-    return _scored(spark, d)
+    return outlier_scores(_stats(spark, d))

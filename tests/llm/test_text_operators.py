@@ -243,3 +243,13 @@ def test_no_prose(spark, sf):
     words = spark.read.parquet(f"{sf}/common_words.parquet")
     got = [r["doc_id"] for r in quality.no_prose(quality.outlier_scores(quality.document_stats(df, words))).select("doc_id").collect()]
     assert sorted(x for x in got if x < 0) == [-5, -4, -1, -1]
+
+
+def test_no_prose_in_any_mix(spark, sf):
+    """Lists are found in a language of one or two documents and where nearly all documents are lists."""
+    one, prose = "- a\n- b c\n- d\n- e", "The plan is right and we know that it will hold for the rest of the day."
+    docs = [(1, one, "sv"), (2, one, "da"), (3, one, "da"), *[(10 + i, one, "en") for i in range(20)], (50, prose, "en")]
+    words = spark.read.parquet(f"{sf}/common_words.parquet")
+    stats = quality.document_stats(spark.createDataFrame(docs, "doc_id long, text string, lang string"), words)
+    got = quality.no_prose(quality.outlier_scores(stats)).select("doc_id").collect()
+    assert sorted(r["doc_id"] for r in got) == [1, 2, 3, *range(10, 30)]
