@@ -217,7 +217,7 @@ def _exact(df: DataFrame, group: Column, bad: DataFrame) -> DataFrame:
     groups = bad.select(F.col("grp").alias("bg"), F.col("field").alias("bf")).distinct()
     some = long.join(groups, (F.col("f") == F.col("bf")) & F.col("g").eqNullSafe(F.col("bg")), "left_semi")
     ranks = exact_ranks(some.select(F.col("f").alias("stat"), F.coalesce("g", F.lit(NO_GROUP)).alias("lang"), F.col("v").alias("value"))).drop("n")
-    hit = bad.join(ranks, (F.col("field") == F.col("stat")) & (F.coalesce("grp", F.lit(NO_GROUP)) == F.col("lang")) & (F.col("low") >= F.col("q")))
+    hit = bad.join(ranks, (F.col("field") == F.col("stat")) & (F.coalesce("grp", F.lit(NO_GROUP)) == F.col("lang")) & (F.col("below") / F.col("total") >= F.col("q")))
     return hit.groupBy("grp", "field", "n", "q").agg(F.min("value").alias("estimate")).withColumn("rank_error", F.lit(0.0)).select("grp", "field", "n", "q", "estimate", "rank_error")
 
 

@@ -218,12 +218,16 @@ def test_pack(spark):
 # quality
 def test_exact_ranks(spark):
     rng = random.Random(1)
-    rows = [("s", rng.choice(["en", "de"]), float(rng.randrange(30))) for _ in range(500)]
-    got = quality.exact_ranks(spark.createDataFrame(rows, "stat string, lang string, value double"), everyone=True).collect()
-    for r in got:
-        v = [x for _, g, x in rows if r["lang"] in (g, "*")]
-        assert r["low"] == sum(x <= r["value"] for x in v) / len(v) and r["high"] == sum(x >= r["value"] for x in v) / len(v)
-    assert len(got) == len({(g, x) for _, g, x in rows}) + len({x for *_, x in rows})
+    rows = [("s", rng.choice(["en", "de"]), float(rng.randrange(30)), rng.random() < 0.6) for _ in range(500)]
+    df = spark.createDataFrame(rows, "stat string, lang string, value double, inside boolean")
+    for counted in (None, "inside"):
+        got = quality.exact_ranks(df, everyone=True, counted=counted).collect()
+        for r in got:
+            every = [x for _, g, x, _ in rows if r["lang"] in (g, "*")]
+            v = [x for _, g, x, k in rows if r["lang"] in (g, "*") and (k or counted is None)]
+            assert r["rows"] == every.count(r["value"]) and r["n"] == v.count(r["value"])
+            assert r["below"] == sum(x <= r["value"] for x in v) and r["total"] == len(v)
+        assert len(got) == len({(g, x) for _, g, x, _ in rows}) + len({x for _, _, x, _ in rows})
 
 
 def test_stats():
@@ -231,25 +235,81 @@ def test_stats():
     s = dict(zip(quality.STATS, quality.TextStats(common)("The cat is here.\n> A dog\n\n- 5 x_y")))
     assert s["n_words"] == 8 and s["end_share"] == 1 / 3 and s["marked_share"] == 1 / 3
     assert s["common_share"] == 3 / 8 and s["plain_share"] == 6 / 10
+    assert s["variety"] == 1 and s["repeat_share"] == 0
     assert dict(zip(quality.STATS, quality.TextStats(common)("l’import")))["common_share"] == 0.5
+    again = dict(zip(quality.STATS, quality.TextStats(common)("buy it now, Buy it now! buy it now")))
+    assert again["repeat_share"] == 4 / 7 and again["variety"] == pytest.approx(np.log(3) / np.log(9))
     for t in ("x", "​", "….", "- ", "a" * 100_000):
         assert len(quality.TextStats(common)(t)) == len(quality.STATS)
 
 
-def test_no_prose(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
-    extra = [(-1, "- a\n- b c\n- d\n- e", "en"), (-2, None, "en"), (-3, "  \n", None), (-4, "buy now cheap / " * 40, "en"), (-5, "k_1 = 5 77\nk_2 = 8 91\nk_9 = 7", None), (-6, "The plan is right and we know that it will hold for the rest of the day.", "xx"), (-1, "- a\n- b c\n- d\n- e", "en")]
+def brute_scores(rows, min_reference):
+    """Scores of (lang, statistics) rows by sorting each statistic anew."""
+    langs, v = np.array([r[0] for r in rows], object), {s: np.array([r[1 + i] for r in rows], float) for i, s in enumerate(quality.STATS)}
+
+    def score(inside):
+        out = np.zeros(len(rows))
+        for g in set(langs):
+            own = langs == g
+            ref = inside & own if g != "und" and (inside & own).sum() >= min_reference else inside
+            for s, side in quality.TAILS.items():
+                x, y = np.sort(v[s][ref]), v[s][own]
+                low, high = (np.searchsorted(x, y, "right") + 1) / (len(x) + 1), (len(x) - np.searchsorted(x, y, "left") + 1) / (len(x) + 1)
+                p = {"low": low, "high": high, "both": 2 * np.minimum(low, high)}[side]
+                out[own] -= np.log(np.maximum(quality.LEAST_TAIL, np.minimum(1, p)))
+        return np.round(out, 6)
+
+    s = score(np.ones(len(rows), bool))
+    bins = np.floor(s * 100).astype(int)
+    bound = (np.sort(bins)[int(np.ceil(quality.CORE * len(rows))) - 1] + 1) / 100
+    for _ in range(quality.ROUNDS):
+        s = score(s < bound)
+        bound = quality.chance_level(quality.TRIM)
+    return s
+
+
+def test_scores_against_brute_force(spark):
+    rng = random.Random(12)
+    rows = [(rng.choice(["en", "en", "de", "und", "xx"]), rng.randrange(1, 90), *[rng.choice([0.0, round(rng.random(), 2)]) for _ in quality.STATS[1:]]) for _ in range(400)]
+    rows += rows[:5]
+    df = spark.createDataFrame([(i % 300, *r, "x") for i, r in enumerate(rows)], "doc_id long, lang string, n_words long, " + ", ".join(f"{s} double" for s in quality.STATS[1:]) + ", value string")
+    got = quality.outlier_scores(df, min_reference=60).collect()
+    want = sorted((r[0], r[1], float(x)) for r, x in zip(rows, brute_scores(rows, 60)))
+    for a, b in zip(sorted((r["lang"], r["n_words"], r["score"]) for r in got), want, strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=1e-5)
+    assert {r["level"] for r in got} == {quality.chance_level(1 / len(rows))}
+
+
+def test_chance_level():
+    x = np.random.default_rng(0).exponential(size=(200_000, len(quality.STATS))).sum(axis=1)
+    for alpha in (0.5, 0.05, 0.001):
+        assert abs((x > quality.chance_level(alpha)).mean() - alpha) < 5 * (alpha / len(x)) ** 0.5 + 1e-4
+
+
+@pytest.fixture(scope="module")
+def some_documents(spark):
+    d = "/root/testdata/sf0.01"  # tails need some hundred documents
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang"), spark.read.parquet(f"{d}/common_words.parquet")
+
+
+def test_no_prose(spark, some_documents):
+    docs, words = some_documents
+    table_ = "\n".join(f"k_{i} = {i * 7} {i + 91}" for i in range(12))
+    extra = [(-1, "- a\n- b c\n- d\n- e", "en"), (-2, None, "en"), (-3, "  \n", None), (-4, "buy now cheap / " * 40, "en"), (-5, table_, None), (-6, "The plan is right and we know that it will hold for the rest of the day.", "xx"), (-1, "- a\n- b c\n- d\n- e", "en"), (-7, table_, "sv")]
     df = docs.unionByName(spark.createDataFrame(extra, docs.schema)).withColumn("score", F.lit(1)).withColumn("key", F.lit(2))
-    words = spark.read.parquet(f"{sf}/common_words.parquet")
-    got = [r["doc_id"] for r in quality.no_prose(quality.outlier_scores(quality.document_stats(df, words))).select("doc_id").collect()]
-    assert sorted(x for x in got if x < 0) == [-5, -4, -1, -1]
-
-
-def test_no_prose_in_any_mix(spark, sf):
-    """Lists are found in a language of one or two documents and where nearly all documents are lists."""
-    one, prose = "- a\n- b c\n- d\n- e", "The plan is right and we know that it will hold for the rest of the day."
-    docs = [(1, one, "sv"), (2, one, "da"), (3, one, "da"), *[(10 + i, one, "en") for i in range(20)], (50, prose, "en")]
-    words = spark.read.parquet(f"{sf}/common_words.parquet")
-    stats = quality.document_stats(spark.createDataFrame(docs, "doc_id long, text string, lang string"), words)
-    got = quality.no_prose(quality.outlier_scores(stats)).select("doc_id").collect()
-    assert sorted(r["doc_id"] for r in got) == [1, 2, 3, *range(10, 30)]
+    stats = quality.document_stats(df, words).checkpoint()
+    found = [r["doc_id"] for r in quality.no_prose(stats).select("doc_id").collect()]
+    assert sorted(x for x in found if x < 0) == [-7, -5, -4, -1, -1]
+    # The score decides: without the ranks of some statistics a good part is lost, without any all is.
+    some = stats.withColumns({s: F.lit(0.5) for s in ("common_share", "plain_share", "marked_share", "end_share")})
+    assert quality.no_prose(some).count() < 0.9 * len(found)
+    assert quality.no_prose(stats.withColumns({s: F.lit(1) if s == "n_words" else F.lit(0.5) for s in quality.STATS})).count() == 0
+
+
+def test_no_prose_of_prose(some_documents):
+    """Where nothing but prose is left, hardly any comes out."""
+    docs, words = some_documents
+    stats = quality.document_stats(docs, words).checkpoint()
+    bad = quality.no_prose(stats).select("doc_id")
+    prose = stats.join(bad, "doc_id", "left_anti").checkpoint()
+    assert quality.no_prose(prose).count() <= 0.02 * prose.count()
