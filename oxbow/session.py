@@ -23,6 +23,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, **conf:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     for k, v in conf.items():
@@ -44,10 +45,16 @@ def register_views(spark: SparkSession, sf_dir: str, *names: str) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; a temporary one only where the session names none (tests)."""
+    """The shared checkpoint folder; a temporary one only in a local session that names none (tests).
+
+    A cluster's executors can't see a folder of one machine: there the session must name it.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="oxbow-ck-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master or "").split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="oxbow-ck-"))
     return sc.getCheckpointDir()
 
 
@@ -62,6 +69,12 @@ def set_priority(spark: SparkSession, level: str | None) -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """The frame over all cores where its files make fewer tasks than there are cores (small inputs before Python work); else as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """The frame over all cores where its files make fewer tasks than there are cores (small inputs before Python work); else as it is.
+
+    Judged by the planner's estimate of the input's bytes: nothing is planned twice or run.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return df.repartition(cores) if size < cores * split else df

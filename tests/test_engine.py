@@ -37,8 +37,12 @@ def test_helpers(spark, sf):
     df = spark.read.parquet(f"{sf}/nation.parquet")
     assert small_enough(df, 1 << 20) and not small_enough(df, 10)
     assert spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    wide = df.repartition(64)
-    assert spread(wide) is wide
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "10b")
+        assert spread(df) is df
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
     set_priority(spark, "high")
     assert df.count() == 25
     set_priority(spark, None)
