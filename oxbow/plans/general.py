@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from oxbow.operators.anomalies import Reading, implausible_readings
 from oxbow.operators.intervals import interval_periods
-from oxbow.operators.snapshots import snapshot_changes
+from oxbow.operators.snapshots import SnapshotIndex
 from oxbow.session import table
+from oxbow.sources import storage
 
 
 def p2_readings(spark: SparkSession, d: str) -> DataFrame:
@@ -30,7 +31,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return snapshot_changes(table(spark, d, "processlog"), "trackid", "snapshotid", "processpid", "log_id", "processcommand")
+    """All snapshots as one delivery to an index that ends with the query."""
+    index = SnapshotIndex(spark, storage.scratch(spark, "snapshots"))
+    found = index.apply(table(spark, d, "processlog"), "trackid", "snapshotid", "processpid", "log_id", "processcommand")
+    index.drop()
+    return found
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
