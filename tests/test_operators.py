@@ -7,7 +7,8 @@ from collections import defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from oxbow.operators.anomalies import Model, Reading, flag_series, implausible_readings
+from oxbow.operators import anomalies
+from oxbow.operators.anomalies import Model, Reading, implausible_readings
 from oxbow.operators.intervals import interval_periods
 from oxbow.operators.ranks import sliced_row_number
 from oxbow.operators.snapshots import SnapshotIndex, snapshot_changes
@@ -126,20 +127,53 @@ def test_snapshot_of_null_keys_is_present(spark):
     assert changes(spark, [(*r, "", "", "", "") for r in rows]) == [(1, 2, 5, "removed"), (1, 3, 5, "added")]
 
 
-def test_snapshot_index(spark):
-    spark.sql("CREATE DATABASE IF NOT EXISTS ox_test")
-    ix = SnapshotIndex(spark, "ox_test.ix", "k", "v", buckets=4)
-    make = lambda x: spark.createDataFrame(x, "k int, v string")
-    assert ix.apply(make([(1, "a"), (2, "b"), (3, "c"), (None, "z")])).count() == 0
-    got = sorted(tuple(r) for r in ix.apply(make([(1, "A"), (2, "x"), (4, "d")])).collect())
-    assert got == [(2, "changed"), (3, "removed"), (4, "added")]
-    assert sorted(tuple(r) for r in ix.apply(make([(1, "A"), (2, "x")])).collect()) == [(4, "removed")]
-    spark.sql("DROP DATABASE ox_test CASCADE")
+def indexed(spark, path, deliveries, restart=False):
+    """All changes of deliveries to one index, by one object or a new one for each."""
+    ix, out = SnapshotIndex(spark, path, buckets=4), []
+    for rows in deliveries:
+        df = spark.createDataFrame(rows, "trackid long, snapshotid int, pid int, log_id long, cmd string, g string, t string, k string, v string")
+        if restart:
+            for x in spark.catalog.listTables():  # what another session doesn't know
+                spark.sql(f"DROP TABLE IF EXISTS {x.name}")
+            ix = SnapshotIndex(spark, path)
+        out += [tuple(r) for r in ix.apply(df, "trackid", "snapshotid", "pid", "log_id", "cmd").collect()]
+    return sorted(out), ix
 
 
-def series(values, least=5.0, resolution=0.3, usual=0.08):
-    v = np.array([values], float)
-    spike, stuck = flag_series(v, np.arange(len(values))[None, :], np.array([len(values)]), np.array([least]), np.array([resolution]), np.array([usual]))
+def test_snapshot_index(spark, tmp_path):
+    """In one delivery, in many, and by a session that starts anew, the index gives what plain joins give."""
+    rng = random.Random(3)
+    rows, n = [], 0
+    for g in (1, 2, 3):
+        for t in rng.sample(range(1, 12), 8):
+            for k in [*rng.sample(range(8), rng.randrange(8)), *([None] if rng.random() < 0.3 else []), *([3] if rng.random() < 0.3 else [])]:
+                n += 1
+                rows.append((g, t, k, n, rng.choice(["server", "SERver ", "ser", "exe  mgr", "Exe mgr", None, "other"]), "a", "b", "c", "d"))
+    rows += [(None, 1, 1, 10_000, "x", "", "", "", ""), (1, None, 1, 10_001, "x", "", "", "", "")]
+    want = changes(spark, rows)
+    assert want == brute_changes([r[:5] for r in rows])
+    got, ix = indexed(spark, f"{tmp_path}/one", [rows])
+    assert got == want
+    cuts = [[r for r in rows if r[1] and a <= r[1] < b and r[0] != 3 or r[0] == 3 and (r[1] < 6) == (a == 1)] for a, b in ((1, 4), (4, 5), (5, 99))]
+    assert indexed(spark, f"{tmp_path}/many", cuts)[0] == want
+    got, ix = indexed(spark, f"{tmp_path}/anew", cuts, restart=True)
+    assert got == want
+    assert sorted(p.name for p in (tmp_path / "anew").iterdir() if p.is_dir()) == ["g2"]  # one generation stays
+    again = ix.apply(spark.createDataFrame([r for r in rows if r[0] == 1], "trackid long, snapshotid int, pid int, log_id long, cmd string, g string, t string, k string, v string"), "trackid", "snapshotid", "pid", "log_id", "cmd")
+    assert again.count() == 0  # known snapshots
+    ix.drop()
+    assert not (tmp_path / "anew").exists()
+    assert indexed(spark, f"{tmp_path}/none", [[]])[0] == []
+
+
+def series(values, least=5.0, resolution=0.3, usual=0.08, chances=anomalies.state_probabilities, out=(), snapshots=None):
+    """Places of spikes and stuck values of one series."""
+    m, n = Model(), np.array([len(values)])
+    snap = np.array([snapshots or range(len(values))])
+    p = anomalies._padded(np.array([values], float), snap, np.isin(np.arange(len(values)), list(out))[None, :], n, m)
+    keys, counts = anomalies._summary(p, np.ones_like(snap, bool), np.array([resolution]), m)[0]
+    stats = dict(zip(anomalies.STATS, (np.array([x]) for x in anomalies._usual(keys, counts, least, resolution, usual, m))))
+    spike, stuck = anomalies.flags(p, stats, np.array([least]), m, chances)
     return np.flatnonzero(spike[0]).tolist(), np.flatnonzero(stuck[0]).tolist()
 
 
@@ -160,7 +194,7 @@ def test_spikes():
     x[10] = 8.0  # below the least size
     assert series(x) == ([], [])
     assert series([50.0, 41.0, 60.0]) == ([], [])
-    assert series(noisy(5, 137, 8) + noisy(60, 235, 12, 1)) == ([], [])  # a change of level near the start
+    assert series(noisy(8, 137, 8) + noisy(60, 235, 12, 1)) == ([], [])  # a change of level near the start
     x = noisy(60, 235, 12)
     x[0] = 500.0
     assert series(x) == ([0], [])
@@ -181,6 +215,48 @@ def test_stuck():
     x[60] = 3_000_000.0  # a spike doesn't hide what is stuck
     assert series(x, least=50_000.0, resolution=1_000.0, usual=0.02) == ([60], list(range(20, 40)))
     assert series([2.0] * 40)[1] == []  # there are no other readings
+    x = noisy(80, 40, 2)
+    x[20:34] = [41.3] * 14
+    x[26] = 900.0
+    assert series(x, out=[26]) == ([], [i for i in range(20, 34) if i != 26])  # an impossible reading between them
+    x[26] = 70.0
+    shots = list(range(80))
+    shots[26:] = [i - 1 for i in shots[26:]]  # a second value in the snapshot of the one before
+    assert series(x, snapshots=shots) == ([26], [i for i in range(20, 34) if i != 26])
+
+
+def test_the_posterior_decides():
+    """With a constant in the place of the posterior at least a tenth of what is flagged is wrong."""
+
+    def constant(p, stats, m):
+        g, off = anomalies.state_probabilities(p, stats, m)
+        return {k: np.ones_like(v) for k, v in g.items()}, off
+
+    planted = flagged = right = 0
+    for seed in range(40):
+        level = 20 + 5 * seed
+        x = noisy(90, level, 0.06 * level, seed)
+        x[40], x[70:75] = 5 * level, [2 * level + i for i in range(5)]
+        planted += 1
+        found = series(x)[0]
+        right += found == [40]
+        flagged += len(series(x, chances=constant)[0])
+    assert right >= 0.95 * planted and flagged > 3 * planted
+
+
+def test_blocks_make_no_difference(spark):
+    """A series of 5,000 snapshots has the same flags however it is cut; the level changes, and so does how often values repeat."""
+    rng = np.random.default_rng(4)
+    x = np.round(np.r_[rng.normal(40, 1, 2000), rng.normal(90, 6, 3000)], 1)
+    x[3000:3012], x[2040:2060], x[4090:4101] = 88.8, 91.2, 93.4
+    for i in (10, 1950, 2049 - 20, 2500, 4095 + 30, 4999):
+        x[i] = 300
+    df = spark.createDataFrame([(i, i, float(v)) for i, v in enumerate(x)], "id long, snap int, cpu double")
+    spec = [Reading("cpu", F.col("cpu"), F.lit(0), F.lit(400), 5, 0.3, 0.08, (F.lit(1),))]
+    got = [sorted(tuple(r) for r in implausible_readings(df, "id", "snap", spec, Model(block=b)).collect()) for b in (2048, 300, 100_000)]
+    assert got[0] == got[1] == got[2]
+    assert {r[0] for r in got[0] if r[2] == "stuck"} == {*range(3000, 3012), *range(2040, 2060), *range(4090, 4101)}
+    assert {10, 1950, 2029, 2500, 4125, 4999} <= {r[0] for r in got[0] if r[2] == "spike"}
 
 
 def test_implausible_rows(spark):
