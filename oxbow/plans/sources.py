@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oxbow.sources import storage
-from oxbow.sources.delimited import LoadColumn, bulk_load, read_delimited, write_delimited
+from oxbow.sources.delimited import LoadColumn, bulk_load, load_job, read_delimited, write_delimited
 from oxbow.sources.location import extent_map, foreign_scan, with_location
 from oxbow.sources.tables import ColumnSpec, Table
 from oxbow.session import table
@@ -103,6 +105,54 @@ def dml_rollback(spark: SparkSession, d: str) -> DataFrame:
     return t.df()
 
 
+def dml_rollback_schema(spark: SparkSession, d: str) -> DataFrame:
+    """A rollback brings back a table's columns too."""
+    t = _orders(spark, d)
+    t.rename_column("o_totalprice", "price")
+    t.drop_column("o_custkey")
+    t.rollback()
+    t.rollback()
+    return t.df()
+
+
+def dml_insert_append(spark: SparkSession, d: str) -> DataFrame:
+    """Single rows added to a large table: each insert writes a file of its own, the others stay."""
+    t = _orders(spark, d)
+    before = set(t.meta.files)
+    for k in (-1, -2):
+        t.insert(spark.createDataFrame([(k, 7)], "o_orderkey bigint, o_custkey bigint").coalesce(1))
+    files = set(t.meta.files)
+    return t.df().withColumns({"kept": F.lit(before <= files), "new_files": F.lit(len(files - before))})
+
+
+def dml_transaction(spark: SparkSession, d: str) -> DataFrame:
+    """Two changes that count as one, one that is given up, and the table as it was before."""
+    t = _orders(spark, d)
+    first = t.meta.generation
+    with t.transaction():
+        t.delete("o_orderstatus = 'P'")
+        t.update({"o_totalprice": "0"}, "o_orderstatus = 'F'")
+    try:
+        with t.transaction():
+            t.truncate()
+            raise KeyboardInterrupt
+    except KeyboardInterrupt:
+        pass
+    now = Table(spark, t.path).df().withColumn("version", F.lit("new"))
+    return now.unionByName(Table(spark, t.path, generation=first).df().withColumn("version", F.lit("old")))
+
+
+def io_load_job(spark: SparkSession, d: str) -> DataFrame:
+    """Two tables by one job file, the second loaded twice: rows loaded and rejected by the last call, and what stands in the table."""
+    at = storage.scratch(spark, "job")
+    columns = [{"name": "c_custkey", "type": "bigint", "not_null": True}, {"name": "c_name"}, {"name": "c_nationkey", "type": "int"}, {"name": "c_mktsegment", "length": 4}]
+    job = {"delimiter": "|", "tables": [{"name": "dirty", "path": _dirty(spark, d), "max_errors": 1 << 40, "columns": columns}]}
+    storage.write_text(spark, f"{at}/job.json", json.dumps(job))
+    load_job(spark, f"{at}/job.json", f"{at}/out")
+    loaded, rejected = load_job(spark, f"{at}/job.json", f"{at}/out")["dirty"]
+    return spark.read.parquet(f"{at}/out/dirty").agg(F.count(F.lit(1)).alias("stored")).select("stored", F.lit(loaded).cast("bigint").alias("loaded"), F.lit(rejected).cast("bigint").alias("rejected"))
+
+
 def ddl_alter(spark: SparkSession, d: str) -> DataFrame:
     t = _orders(spark, d)
     t.add_column(ColumnSpec("note", "string", default="'none'"))
@@ -162,7 +212,7 @@ def location_extents(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    io_csv_roundtrip, io_bulk_load, io_bulk_rejects, io_job_spec, io_formats, io_foreign_scan, dml_insert, dml_update, dml_delete, dml_delete_exists, dml_rollback,
+    io_csv_roundtrip, io_bulk_load, io_bulk_rejects, io_job_spec, io_formats, io_foreign_scan, dml_insert, dml_update, dml_delete, dml_delete_exists, dml_rollback, dml_rollback_schema, dml_insert_append, dml_transaction, io_load_job,
     ddl_alter, ddl_auto_increment, partition_show, partition_disable, partition_drop, partition_drop_by_value, table_redistribute, location_columns, location_extents,
 )}
 
@@ -180,6 +230,10 @@ WHERE reason IS NOT NULL GROUP BY reason""",
     "dml_delete": BASE + " WHERE NOT (o_totalprice > 250000 OR o_orderstatus = 'P')",
     "dml_delete_exists": BASE + " WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal < 5000)",
     "dml_rollback": BASE,
+    "dml_rollback_schema": BASE,
+    "dml_insert_append": "SELECT *, TRUE AS kept, 2 AS new_files FROM (" + BASE + " UNION ALL SELECT -1, 7, 'N', NULL UNION ALL SELECT -2, 7, 'N', NULL) x",
+    "dml_transaction": "SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE o_totalprice END AS o_totalprice, 'new' AS version FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, 'old' FROM orders",
+    "io_load_job": "SELECT 2 * sum(CASE WHEN ok THEN 1 ELSE 0 END) AS stored, sum(CASE WHEN ok THEN 1 ELSE 0 END) AS loaded, sum(CASE WHEN ok THEN 0 ELSE 1 END) AS rejected FROM (SELECT c_custkey % 70 <> 3 AND c_custkey % 100 <> 0 AND c_custkey % 150 <> 1 AS ok FROM customer) x",
     "ddl_alter": "SELECT o_orderkey, o_custkey AS customer, CAST(trunc(o_totalprice) AS BIGINT) AS o_totalprice, 'none' AS note FROM orders",
     "ddl_auto_increment": "SELECT CAST(30 AS BIGINT) AS n, CAST(30 AS BIGINT) AS ids, CAST(1 AS BIGINT) AS lo, CAST(30 AS BIGINT) AS hi",
     "partition_show": "SELECT 'o_orderstatus=' || o_orderstatus AS part, count(*) AS n_rows, min(o_orderkey) AS low, max(o_orderkey) AS high, o_orderstatus <> 'F' AS enabled FROM orders GROUP BY o_orderstatus",

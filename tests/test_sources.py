@@ -5,7 +5,7 @@ import pytest
 from oxbow.plans.relational import checked_broadcast
 from oxbow.sources.delimited import LoadColumn, TooManyErrors, bulk_load, read_delimited
 from oxbow.sources.location import explain_text
-from oxbow.sources.tables import ColumnSpec, ConstraintError, Table
+from oxbow.sources.tables import ColumnSpec, ConflictError, ConstraintError, Table
 
 
 def test_delimited_rules(spark, tmp_path):
@@ -19,7 +19,10 @@ def test_delimited_rules(spark, tmp_path):
     with pytest.raises(TooManyErrors):
         bulk_load(spark, str(tmp_path / "in.tbl"), spec, str(tmp_path / "out"), str(tmp_path / "bad"), max_errors=3)
     assert not (tmp_path / "out").exists()
-    assert bulk_load(spark, str(tmp_path / "in.tbl"), spec, str(tmp_path / "out"), str(tmp_path / "bad"), max_errors=4) == (3, 4)
+    for stored in (3, 6):  # what this call loaded, not what is there
+        assert bulk_load(spark, str(tmp_path / "in.tbl"), spec, str(tmp_path / "out"), str(tmp_path / "bad"), max_errors=4) == (3, 4)
+        assert spark.read.parquet(str(tmp_path / "out")).count() == stored
+    assert sorted(p.name for p in (tmp_path / "bad").iterdir() if p.is_dir()) == ["reason=fields", "reason=null in k", "reason=type of v"]
 
 
 def test_empty_input(spark, tmp_path):
@@ -60,6 +63,57 @@ def test_table_rules(spark, tmp_path):
         Table(spark, str(tmp_path / "t"))
 
 
+def test_generations(spark, tmp_path):
+    """Changes write what changed; a rollback is whole; of two writers one fails."""
+    t = make(spark, tmp_path)
+    first = t.meta.generation
+    data = lambda: {str(p) for p in (tmp_path / "t" / "data").rglob("*.parquet")}
+    had = data()
+    t.insert(spark.createDataFrame([(4, "a")], "k int, p string").coalesce(1))
+    assert len(data() - had) == 1 and had <= data()
+    had = data()
+    t.drop_partitions("p=a")
+    t.disable_partitions("p=null")
+    t.add_column(ColumnSpec("note", "string"))
+    t.drop_column("v")
+    assert data() == had and t.df().columns == ["k", "p", "note"]
+    assert [r["k"] for r in t.df().collect()] == [2]
+    for _ in range(4):
+        t.rollback()
+    assert t.df().columns == ["k", "v", "p"] and sorted(r["k"] for r in t.df().collect()) == [1, 2, 3, 4]
+    t.delete("k = 4")
+    assert data() == had  # the file with nothing left has no successor
+    old = Table(spark, t.path, generation=first)
+    assert sorted(r["k"] for r in old.df().collect()) == [1, 2, 3]
+    with pytest.raises(ValueError):
+        old.truncate()
+    other = Table(spark, t.path)
+    t.set_default("v", "8")
+    with pytest.raises(ConflictError):
+        other.insert(spark.createDataFrame([(9, "z")], "k int, p string"))
+    assert Table(spark, t.path).df().filter("k = 9").count() == 0
+    t.add_column(ColumnSpec("w", "int", default="5"))
+    t.drop_column("w")
+    t.add_column(ColumnSpec("w", "int"))  # no value of the dropped column comes back
+    assert {r["w"] for r in t.df().collect()} == {None}
+    t.vacuum()
+    assert Table(spark, t.path).df().count() == 3
+
+
+def test_transactions(spark, tmp_path):
+    t = make(spark, tmp_path)
+    g = t.meta.generation
+    with t.transaction():
+        t.insert(spark.createDataFrame([(7, "c")], "k int, p string"))
+        t.update({"v": "v + 1"}, "k = 7")
+        assert Table(spark, t.path).df().count() == 3  # nobody else sees it yet
+    assert t.meta.generation == g + 1 and {r["v"] for r in t.df().filter("k = 7").collect()} == {8}
+    with pytest.raises(ConstraintError), t.transaction():
+        t.delete("k = 1")
+        t.insert(spark.createDataFrame([(7, "c")], "k int, p string"))
+    assert Table(spark, t.path).df().count() == t.df().count() == 4
+
+
 def test_foreign_key_and_rename(spark, tmp_path):
     t = make(spark, tmp_path)
     u = Table.create(spark, str(tmp_path / "u"), [ColumnSpec("id", "int"), ColumnSpec("k", "int")])
