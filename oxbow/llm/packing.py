@@ -3,7 +3,7 @@
 What is planned is the histogram of sizes, at most ``capacity`` numbers however many items
 there are. Planning opens a container with the largest size left, and fills its gap by
 exact-complement lookup: one size, a pair or a triple of sizes that fill it to the last
-unit, found by hashing on the length sums still available; if there is none, the largest
+unit, found in an index of the length sums still available (``Sums``); if there is none, the largest
 size that fits goes in (best fit) and the smaller gap is looked up again. A pattern is used
 as often as its sizes are available. Items then take the places of their size by their rank
 in it.
@@ -34,89 +34,126 @@ class Pattern:
     times: int
 
 
-def _single(have: np.ndarray, gap: int) -> list[int] | None:
-    return [gap] if gap < len(have) and have[gap] > 0 else None
+class Sums:
+    """The sizes still available, and an index of the sums that two of them make.
 
+    ``pairs[g]`` is the number of pairs of sizes with the sum g. It follows the sizes that run out; a size that is only
+    held for the container being filled is still counted in it, so what the index offers is looked at once more.
+    """
 
-def _pair(have: np.ndarray, gap: int, top: int) -> list[int] | None:
-    """Two sizes that make up the gap, the larger as large as may be; top: no size is above it."""
-    low, high = max((gap + 1) // 2, gap - top), min(gap - 1, top)
-    if high < low:
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.have = np.zeros(capacity + 1, np.int64)
+        for s, n in counts.items():
+            self.have[s] = n
+        there = (self.have > 0).astype(float)
+        n = 1 << (2 * capacity + 1).bit_length()
+        both = np.rint(np.fft.irfft(np.fft.rfft(there, n) ** 2, n)[: capacity + 1]).astype(np.int64)
+        halves = np.arange(capacity // 2 + 1)
+        both[2 * halves] -= self.have[halves] > 0
+        self.pairs = both // 2
+        self.pairs[2 * halves] += self.have[halves] > 1
+        self.sizes = np.flatnonzero(self.have)
+
+    def use(self, used: dict[int, int], times: int) -> None:
+        """Take the sizes for good, and those that run out from the index."""
+        top = len(self.have) - 1
+        for s, k in used.items():
+            was = self.have[s]
+            self.have[s] -= k * times
+            if 2 * s <= top and was > 1 >= self.have[s]:
+                self.pairs[2 * s] -= 1
+            if self.have[s] == 0:
+                self.sizes = self.sizes[self.sizes != s]
+                at = self.sizes + s
+                self.pairs[at[at <= top]] -= 1
+
+    def single(self, gap: int) -> list[int] | None:
+        return [gap] if self.have[gap] > 0 else None
+
+    def pair(self, gap: int) -> list[int] | None:
+        """Two sizes that make up the gap, the larger as large as may be."""
+        if self.pairs[gap] == 0:
+            return None
+        large = self.sizes[np.searchsorted(self.sizes, (gap + 1) // 2) : np.searchsorted(self.sizes, gap)]
+        ok = (self.have[large] > 0) & (self.have[gap - large] > (large * 2 == gap))
+        at = np.flatnonzero(ok)
+        return [int(large[at[-1]]), gap - int(large[at[-1]])] if len(at) else None
+
+    def triple(self, gap: int) -> list[int] | None:
+        """Three sizes that make up the gap: one whose rest two others make."""
+        large = self.sizes[np.searchsorted(self.sizes, (gap + 2) // 3) : np.searchsorted(self.sizes, gap - 1)]
+        for c in large[(self.have[large] > 0) & (self.pairs[gap - large] > 0)][::-1].tolist():
+            self.have[c] -= 1
+            p = self.pair(gap - c)
+            self.have[c] += 1
+            if p:
+                return [c, *p]
         return None
-    a = have[low : high + 1]
-    b = have[gap - high : gap - low + 1][::-1]
-    ok = (a > 0) & (b > 0)
-    if gap % 2 == 0 and low == gap // 2:
-        ok[0] &= a[0] > 1
-    at = np.flatnonzero(ok)
-    return [low + int(at[-1]), gap - low - int(at[-1])] if len(at) else None
-
-
-def _triple(have: np.ndarray, gap: int, top: int) -> list[int] | None:
-    for c in np.flatnonzero(have[(gap + 2) // 3 : min(gap - 2, top) + 1])[::-1] + (gap + 2) // 3:
-        have[c] -= 1
-        p = _pair(have, gap - int(c), min(top, int(c)))
-        have[c] += 1
-        if p:
-            return [int(c), *p]
-    return None
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
     """Patterns that take every item of the histogram once; sizes are within 1..capacity."""
-    have = np.zeros(capacity + 1, np.int64)
-    for s, n in counts.items():
-        have[s] = n
+    sums = Sums(counts, capacity)
+    have = sums.have
     out: list[Pattern] = []
-    while (present := np.flatnonzero(have)).size:
-        top = int(present[-1])
+    while sums.sizes.size:
         used: dict[int, int] = {}
 
         def take(s: int) -> None:
             used[s] = used.get(s, 0) + 1
             have[s] -= 1
 
-        take(top)
-        gap = capacity - top
+        take(int(sums.sizes[-1]))
+        gap = capacity - int(sums.sizes[-1])
         while gap:
-            left = np.flatnonzero(have[: gap + 1])
-            if not left.size:
+            left = sums.sizes[: np.searchsorted(sums.sizes, gap, side="right")]
+            i = len(left) - 1
+            while i >= 0 and have[left[i]] == 0:  # held for this container
+                i -= 1
+            if i < 0:
                 break
-            most = int(left[-1])
+            most = int(left[i])
             fill = None
             if gap <= 3 * most:
-                fill = _single(have, gap) or _pair(have, gap, most) or _triple(have, gap, most)
+                fill = sums.single(gap) or sums.pair(gap) or sums.triple(gap)
             for s in fill or [most]:
                 take(s)
                 gap -= s
         for s, k in used.items():
             have[s] += k
         times = min(int(have[s]) // k for s, k in used.items())
-        for s, k in used.items():
-            have[s] -= k * times
+        sums.use(used, times)
         out.append(Pattern(tuple(sorted(used.items(), reverse=True)), times))
     return out
 
 
-def _places(patterns: list[Pattern]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By (size, first rank): the number of the size in a container, and the first container."""
+#: Bits of the rank in a size; the number of a size stands above them.
+RANK_BITS = 44
+
+
+def _places(patterns: list[Pattern]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The sizes, and by (number of the size, first rank): the number of the size in a container, and the first container."""
+    sizes = sorted({s for p in patterns for s, _ in p.sizes})
+    if len(sizes) >= 1 << (63 - RANK_BITS):
+        raise ValueError("too many different sizes")
+    code = {s: i for i, s in enumerate(sizes)}
     taken: dict[int, int] = {}
     rows, base = [], 0
     for p in patterns:
         for s, k in p.sizes:
-            rows.append((s << 44 | taken.get(s, 0), k, base))
+            rows.append((code[s] << RANK_BITS | taken.get(s, 0), k, base))
             taken[s] = taken.get(s, 0) + k * p.times
         base += p.times
     rows.sort()
     a = np.array(rows or [(0, 1, 0)], np.int64)
-    return a[:, 0], a[:, 1], a[:, 2]
+    return np.array(sizes, np.int64), a[:, 0], a[:, 1], a[:, 2]
 
 
 def _assign(places):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        start, per, base = places.value
+        sizes, start, per, base = places.value
         for b in batches:
-            key = (b["size"].to_numpy(np.int64) << 44) + b["rank"].to_numpy(np.int64) - 1
+            key = (np.searchsorted(sizes, b["size"].to_numpy(np.int64)) << RANK_BITS) + b["rank"].to_numpy(np.int64) - 1
             i = np.searchsorted(start, key, side="right") - 1
             yield b.assign(container=base[i] + (key - start[i]) // per[i])[["key", "piece", "from_unit", "size", "container"]]
 
