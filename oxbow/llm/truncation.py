@@ -26,7 +26,10 @@ from oxbow.session import ensure_checkpoint_dir, table
 #: A pile at a source's greatest length: at least so many rows, so large a share of them cut by other signs.
 PILE_ROWS, PILE_SHARE = 5, 0.3
 
-NARROW = "is_sql boolean, h1 long, h2 long, marker boolean, broken boolean, prefix boolean, digits boolean, inside boolean, edge string, part int, text string"
+#: What a text is compared with: other commands, other statements, other commands of its owner.
+COMMAND, STATEMENT, OWN_COMMAND = 0, 1, 2
+
+NARROW = "scope int, h1 long, h2 long, marker boolean, broken boolean, prefix boolean, digits boolean, inside boolean, edge string, part int, text string"
 
 
 def _edge(a: str, b: str) -> tuple[bool, bool, bool]:
@@ -37,27 +40,27 @@ def _edge(a: str, b: str) -> tuple[bool, bool, bool]:
 
 
 def _sorted_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over sorted distinct (is_sql, text): the rows with a sign, and the first and last row for the edges."""
+    """Over sorted distinct (scope, text): the rows with a sign, and the first and last row for the edges."""
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
     names = [x.split(" ")[0] for x in NARROW.split(", ")]
-    kinds = [pa.bool_(), pa.int64(), pa.int64(), *[pa.bool_()] * 5, pa.string(), pa.int32(), pa.string()]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.bool_()] * 5, pa.string(), pa.int32(), pa.string()]
     out: list[tuple] = []
     held: tuple | None = None
     first = True
 
     def emit(row: tuple, nxt: tuple | None) -> None:
-        is_sql, text, h1, h2 = row
-        marker = sqltext.strip_marker(text)[1]
-        broken = not marker and is_sql and sqltext.end_missing(text)
+        scope, text, h1, h2 = row
+        marker = scope != OWN_COMMAND and sqltext.strip_marker(text)[1]
+        broken = not marker and scope == STATEMENT and sqltext.end_missing(text)
         prefix = digits = inside = False
-        if nxt is not None and nxt[0] == is_sql:
+        if nxt is not None and nxt[0] == scope:
             prefix, digits, inside = _edge(text, nxt[1])
         if marker or broken or prefix:
-            out.append((is_sql, h1, h2, marker, broken, prefix, digits, inside, "", part, None))
+            out.append((scope, h1, h2, marker, broken, prefix, digits, inside, "", part, None))
         if nxt is None:
-            out.append((is_sql, h1, h2, marker, broken, prefix, digits, inside, "last", part, text))
+            out.append((scope, h1, h2, marker, broken, prefix, digits, inside, "last", part, text))
 
     def batch() -> pa.RecordBatch:
         b = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
@@ -85,28 +88,31 @@ def normalised(text: Column) -> Column:
     return F.trim(F.lower(F.regexp_replace(text, r"\s+", " ")))
 
 
-def cut_signs(records: DataFrame) -> DataFrame:
-    """Distinct texts with a sign of a lost end: is_sql, h1, h2 (hashes of the normalised text), marker, broken, prefix, digits, inside."""
-    ensure_checkpoint_dir(records.sparkSession)
-    distinct = records.select("is_sql", "norm").distinct()
-    n = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = distinct.repartitionByRange(n, "is_sql", "norm").sortWithinPartitions("is_sql", "norm")
-    hashed = ordered.select("is_sql", "norm", F.xxhash64("norm").alias("h1"), F.xxhash64(F.reverse("norm")).alias("h2"))
-    rows = hashed.mapInArrow(_sorted_pass, NARROW).checkpoint()
+def _hashes(c: str, first: str = "h1", second: str = "h2") -> list[Column]:
+    """128 bits of a text from two independent passes."""
+    return [F.xxhash64(c).alias(first), F.xxhash64(F.reverse(c)).alias(second)]
+
+
+def cut_signs(texts: DataFrame) -> DataFrame:
+    """Of rows (scope, norm) the distinct texts with a sign of a lost end: scope, h1, h2 (hashes of norm), marker, broken, prefix, digits, inside."""
+    ensure_checkpoint_dir(texts.sparkSession)
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = texts.distinct().repartitionByRange(n, "scope", "norm").sortWithinPartitions("scope", "norm")
+    rows = ordered.select("scope", "norm", *_hashes("norm")).mapInArrow(_sorted_pass, NARROW).checkpoint()
     # Two rows a partition: the last text of each against the first of the next.
     w = Window.orderBy("part", F.when(F.col("edge") == "first", 0).otherwise(1))
-    edges = rows.filter("edge <> ''").withColumn("next_text", F.lead("text").over(w)).withColumn("next_sql", F.lead("is_sql").over(w))
+    edges = rows.filter("edge <> ''").withColumn("next_text", F.lead("text").over(w)).withColumn("next_scope", F.lead("scope").over(w))
     n_text = F.length("text")
     strict = F.coalesce(
-        (F.col("edge") == "last") & (F.col("is_sql") == F.col("next_sql")) & F.startswith("next_text", "text") & (F.length("next_text") > n_text), F.lit(False)
+        (F.col("edge") == "last") & (F.col("scope") == F.col("next_scope")) & F.startswith("next_text", "text") & (F.length("next_text") > n_text), F.lit(False)
     )
     a, b = F.substring("text", -1, 1), F.expr("substring(next_text, length(text) + 1, 1)")
     late = edges.filter(strict).select(
-        "is_sql", "h1", "h2", "marker", "broken", F.lit(True).alias("prefix"),
+        "scope", "h1", "h2", "marker", "broken", F.lit(True).alias("prefix"),
         (a.rlike("[0-9]") & b.rlike("[0-9]")).alias("digits"), (a.rlike(r"\w") & b.rlike(r"\w")).alias("inside"),
     )
     signs = rows.filter("edge = ''").select(*late.columns).unionByName(late)
-    return signs.groupBy("is_sql", "h1", "h2").agg(*[F.bool_or(c).alias(c) for c in ("marker", "broken", "prefix", "digits", "inside")])
+    return signs.groupBy("scope", "h1", "h2").agg(*[F.bool_or(c).alias(c) for c in ("marker", "broken", "prefix", "digits", "inside")])
 
 
 def truncated_records(records: DataFrame) -> DataFrame:
@@ -120,24 +126,25 @@ def truncated_records(records: DataFrame) -> DataFrame:
     longer one or it stands at its source's limit. An empty input gives an empty result.
     """
     ensure_checkpoint_dir(records.sparkSession)
-    r = (
-        records.withColumn("norm", normalised(F.col("text")))
-        .filter(F.col("norm") != "")
-        .select("table_name", "row_key", "source", "owner", "is_sql", "norm", F.length("text").alias("len"), F.rtrim("text").endswith(";").alias("closed"))
-    )
-    signs = cut_signs(r)
+    scope = F.when(F.col("is_sql"), STATEMENT).otherwise(COMMAND).alias("scope")
+    r = records.withColumn("norm", normalised(F.col("text"))).filter(F.col("norm") != "")
+    # A command with its owner before it: one is the beginning of the other only if they have the same owner.
+    r = r.withColumn("owned", F.when(~F.col("is_sql") & F.col("owner").isNotNull(), F.concat_ws("\x01", "owner", "norm")))
+    mine = F.filter(F.array(F.struct(scope, F.col("norm")), F.struct(F.lit(OWN_COMMAND).alias("scope"), F.col("owned").alias("norm"))), lambda x: x["norm"].isNotNull())
+    signs = cut_signs(r.select(F.explode(mine).alias("x")).select("x.scope", "x.norm")).checkpoint()
+    # From here on hashes stand for the texts; of commands the text itself isn't needed either.
+    h = r.select(
+        "table_name", "row_key", "source", "is_sql", scope, F.length("text").alias("len"), F.rtrim("text").endswith(";").alias("closed"), *_hashes("norm"), *_hashes("owned", "o1", "o2")
+    ).checkpoint()
     at = ["table_name", "source"]
-    lens = r.groupBy(*at, "len").agg(F.count(F.lit(1)).alias("n"))
+    lens = h.groupBy(*at, "len").agg(F.count(F.lit(1)).alias("n"))
     tops = lens.groupBy(*at).agg(F.max("len").alias("top"), F.max_by("n", "len").alias("at_top"))
     piles = (
         tops.filter(F.col("at_top") >= PILE_ROWS)
         .select(F.col("table_name").alias("pile_table"), F.col("source").alias("pile_source"), "top")
     )
-    h = r.withColumns({"h1": F.xxhash64("norm"), "h2": F.xxhash64(F.reverse("norm"))})
-    text_of_command = F.when(~F.col("is_sql"), F.col("norm"))
     c = (
-        h.select("table_name", "row_key", "source", "owner", "is_sql", "len", "closed", "h1", "h2", text_of_command.alias("command"))
-        .join(signs, ["is_sql", "h1", "h2"], "left")
+        h.join(signs.filter(F.col("scope") != OWN_COMMAND), ["scope", "h1", "h2"], "left")
         .join(piles, F.col("table_name").eqNullSafe(F.col("pile_table")) & F.col("source").eqNullSafe(F.col("pile_source")) & (F.col("len") == F.col("top")), "left")
         .withColumn("piled", F.col("top").isNotNull())
         .filter(F.col("piled") | F.col("marker").isNotNull())
@@ -151,14 +158,9 @@ def truncated_records(records: DataFrame) -> DataFrame:
         .select(F.col("table_name").alias("l_table"), F.col("source").alias("l_source"), F.lit(True).alias("limited"))
     )
     limited = F.col("table_name").eqNullSafe(F.col("l_table")) & F.col("source").eqNullSafe(F.col("l_source"))
-    # Commands: the longest text of the same owner with the same beginning, and those that stand whole in sources without a limit.
-    commands = h.filter(~F.col("is_sql"))
-    longest = (
-        commands.filter(F.col("owner").isNotNull())
-        .groupBy(F.col("owner").alias("o"), F.substring("norm", 1, 3).alias("o3"))
-        .agg(F.max_by("norm", F.length("norm")).alias("longest"))
-    )
-    whole = commands.join(limits, limited, "left_anti").select(F.col("h1").alias("w1"), F.col("h2").alias("w2")).distinct().withColumn("elsewhere", F.lit(True))
+    # Commands: those that their owner continues at another time, and those that stand whole in sources without a limit.
+    own = signs.filter((F.col("scope") == OWN_COMMAND) & F.col("prefix")).select(F.col("h1").alias("p1"), F.col("h2").alias("p2"), F.lit(True).alias("own"))
+    whole = h.filter(~F.col("is_sql")).join(limits, limited, "left_anti").select(F.col("h1").alias("w1"), F.col("h2").alias("w2")).distinct().withColumn("elsewhere", F.lit(True))
     sql = c.filter("is_sql").join(limits, limited, "left")
     sql_reason = (
         F.when(F.col("marker"), "marker")
@@ -169,14 +171,13 @@ def truncated_records(records: DataFrame) -> DataFrame:
     other = (
         c.filter(~F.col("is_sql"))
         .join(limits, limited, "left")
-        .join(longest, (F.col("owner") == F.col("o")) & (F.substring("command", 1, 3) == F.col("o3")), "left")
+        .join(own, (F.col("o1") == F.col("p1")) & (F.col("o2") == F.col("p2")), "left")
         .join(whole, (F.col("h1") == F.col("w1")) & (F.col("h2") == F.col("w2")), "left")
     )
-    own = F.coalesce(F.startswith("longest", "command") & (F.length("longest") > F.length("command")), F.lit(False))
     other_reason = (
         F.when(F.col("marker"), "marker")
         .when(F.col("piled") & F.col("limited").isNotNull() & (F.col("prefix") | F.col("elsewhere").isNull()), "limit")
-        .when(F.col("prefix") & (~F.col("digits") | own), "prefix")
+        .when(F.col("prefix") & (~F.col("digits") | F.col("own").isNotNull()), "prefix")
     )
     out = lambda d, why: d.withColumn("reason", why).filter(F.col("reason").isNotNull()).select("table_name", "row_key", "source", "reason")
     return out(sql, sql_reason).unionByName(out(other, other_reason))

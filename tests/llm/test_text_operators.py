@@ -1,6 +1,7 @@
 """The text operators against brute force and public tokenizers, and their edge cases."""
 
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -39,7 +40,7 @@ def test_prefixes_against_brute_force(spark):
     norm = sorted({" ".join(t.split()) for t in texts} - {""})
     want = {t for t in norm if any(x != t and x.startswith(t) for x in norm)}
     df = spark.createDataFrame([("t", i, "s", None, False, t) for i, t in enumerate(texts)], RECORDS).withColumn("norm", truncation.normalised(F.col("text"))).filter("norm <> ''")
-    signs = truncation.cut_signs(df.select("is_sql", "norm"))
+    signs = truncation.cut_signs(df.select(F.lit(truncation.COMMAND).alias("scope"), "norm"))
     h = df.select("norm", F.xxhash64("norm").alias("h1"), F.xxhash64(F.reverse("norm")).alias("h2")).distinct()
     assert {r["norm"] for r in h.join(signs.filter("prefix"), ["h1", "h2"]).collect()} == want
 
@@ -57,6 +58,25 @@ def test_truncated(spark):
     assert {k[1] for k in got if k[0] == "p"} == {1, 7}  # 'job 75' is another job than 'job 758': another owner
     own = [("p", 1, "m", "1/9", False, "job 75"), ("p", 2, "m", "1/9", False, "job 758")]
     assert reasons(spark, own) == {("p", 1): "prefix"}
+    own += [("p", 3, "m", "1/9", False, "job runner all"), ("p", 4, "m", "1/90", False, "job 75"), ("p", 5, "m", None, False, "job 7")]
+    assert reasons(spark, own) == {("p", 1): "prefix"}  # whatever else the owner does; another owner's job 75 is whole
+
+
+def test_own_prefixes_against_brute_force(spark):
+    """Numbers that go on in digits are cut only if their owner shows the longer one, however many commands it has."""
+    rng = random.Random(11)
+    rows = [("p", i, f"m{i % 3}", rng.choice(["1/1", "1/11", "2/1", None]), False, rng.choice(["job ", "jo", "7", ""]) + "".join(rng.choice("17") for _ in range(rng.randrange(1, 5)))) for i in range(300)]
+    got = {k[1] for k, why in reasons(spark, rows).items() if why == "prefix"}
+    texts = {r[5] for r in rows}
+
+    def cut(owner, t):
+        nxt = min((x for x in texts if x > t), default="")
+        if not nxt.startswith(t):
+            return False
+        digits = t[-1].isdigit() and nxt[len(t)].isdigit()
+        return not digits or any(r[3] is not None and r[3] == owner and r[5] != t and r[5].startswith(t) for r in rows)
+
+    assert got == {r[1] for r in rows if cut(r[3], r[5])}
 
 
 def test_command_limit(spark):
@@ -140,6 +160,8 @@ def test_hidden_duplicates(spark):
             groups[s, dedup.sqltext.canonical(t)].append(k)
     want = sorted((s, min(v), k) for (s, _), v in groups.items() for k in v if k != min(v))
     assert sorted(tuple(r) for r in dedup.hidden_duplicates(df).collect()) == want
+    poor = lambda c: [F.length(c) % 3, F.lit(0)]  # noqa: E731  texts that share hashes are told apart all the same
+    assert sorted(tuple(r) for r in dedup.hidden_duplicates(df, hashed=poor).collect()) == want
     assert sorted((r["scope"], r["first_key"], r["copies"]) for r in dedup.collapsed(df).collect()) == sorted((s, min(v), len(v)) for (s, _), v in groups.items())
 
 
@@ -194,6 +216,43 @@ def test_plan():
         assert sum(x.times for x in p) <= 1.03 * len(bins) + 1
 
 
+def test_sums():
+    """The index of pair sums follows the sizes that are left; what it finds adds up and is there."""
+    rng = random.Random(13)
+    for _ in range(40):
+        cap = rng.choice([9, 30, 64])
+        left = Counter({s: rng.choice([1, 1, 2, 5]) for s in rng.sample(range(1, cap + 1), rng.randrange(1, cap))})
+        sums = packing.Sums(dict(left), cap)
+        while left:
+            there = sorted(left)
+            for g in range(1, cap + 1):
+                pairs = {(b, g - b) for b in there if g - b in left and b >= g - b and (b != g - b or left[b] > 1)}
+                assert sums.pairs[g] == len(pairs)
+                assert (tuple(sums.pair(g) or ()) in pairs) == bool(pairs)
+                got = sums.triple(g)
+                some = any((Counter((a, b, g - a - b)) - left).total() == 0 for a in there for b in there if g - a - b > 0)
+                assert (got is not None) == some
+                assert got is None or (sum(got) == g and not Counter(got) - left)
+            used = Counter(rng.choices(there, k=rng.choice([1, 2])))
+            if not used - left:
+                sums.use(dict(used), 1)
+                left -= used
+
+
+def test_plan_of_a_large_capacity():
+    rng = np.random.default_rng(5)
+    counts = Counter(np.minimum(131_072, rng.lognormal(7, 1.5, 20_000).astype(int) + 1).tolist())
+    began = time.time()
+    p = packing.plan(counts, 131_072)
+    assert time.time() - began < 6
+    used = Counter()
+    for x in p:
+        for s, k in x.sizes:
+            used[s] += k * x.times
+    assert used == counts
+    assert sum(x.times for x in p) <= np.ceil(sum(s * n for s, n in counts.items()) / 131_072) + 1
+
+
 def test_pack(spark):
     rng = random.Random(2)
     rows = [(i, rng.choice([rng.randrange(1, 60), 100, 230, 0, None, -4, 7]), 5) for i in range(500)] + [(3, 7, 5), (3, 7, 5)]
