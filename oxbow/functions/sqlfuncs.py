@@ -46,12 +46,12 @@ FUNCTIONS: dict[str, tuple[str, str, str]] = {
     "inet_ntoa": ("n BIGINT", "STRING",
                   "CASE WHEN n IS NULL THEN NULL ELSE concat_ws('.', shiftright(n, 24) & 255, shiftright(n, 16) & 255, shiftright(n, 8) & 255, n & 255) END"),
     # numbers
-    "div": ("a DOUBLE, b DOUBLE", "BIGINT", "CASE WHEN round(b) = 0 THEN NULL ELSE CAST(round(a) AS BIGINT) DIV CAST(round(b) AS BIGINT) END"),
+    "div": ("a DECIMAL(38,10), b DECIMAL(38,10)", "BIGINT", "CASE WHEN round(b) = 0 THEN NULL ELSE CAST(round(a) AS BIGINT) DIV CAST(round(b) AS BIGINT) END"),
     "mod": ("a DOUBLE, b DOUBLE", "DOUBLE", "CASE WHEN CAST(b AS BIGINT) = 0 THEN NULL ELSE a % CAST(b AS BIGINT) END"),
     "exp": ("x DOUBLE", "DOUBLE", "CASE WHEN exp(x) = CAST('Infinity' AS DOUBLE) THEN NULL ELSE exp(x) END"),
     "pow": ("x DOUBLE, y DOUBLE", "DOUBLE", "CASE WHEN isnan(pow(x, y)) OR abs(pow(x, y)) = CAST('Infinity' AS DOUBLE) THEN NULL ELSE pow(x, y) END"),
-    "truncate": ("x DECIMAL(28,10), d INT", "DOUBLE", """sign(x) * CASE WHEN d >= 0 THEN CAST(floor(abs(x) * CAST(pow(10, least(d, 9)) AS DECIMAL(10,0))) AS DOUBLE) / pow(10, least(d, 9))
-  ELSE CAST(floor(abs(x) / CAST(pow(10, -d) AS DECIMAL(18,0))) AS DOUBLE) * pow(10, -d) END"""),
+    "truncate": ("x DOUBLE, d INT", "DOUBLE", """CASE WHEN d >= 18 OR (d >= 0 AND abs(x) >= 1e15) THEN x WHEN d < -18 THEN 0
+  ELSE sign(x) * CAST(CAST(abs(x) AS DECIMAL(38,18)) - CAST(abs(x) AS DECIMAL(38,18)) % CAST(pow(10, -d) AS DECIMAL(38,18)) AS DOUBLE) END"""),
     "sign": ("x DOUBLE", "BIGINT", "CAST(sign(x) AS BIGINT)"),
     "greatest": ("a DOUBLE, b DOUBLE", "DOUBLE", "CASE WHEN a IS NULL OR b IS NULL THEN NULL ELSE greatest(a, b) END"),
     "least": ("a DOUBLE, b DOUBLE", "DOUBLE", "CASE WHEN a IS NULL OR b IS NULL THEN NULL ELSE least(a, b) END"),
@@ -75,7 +75,6 @@ FUNCTIONS: dict[str, tuple[str, str, str]] = {
     "period_months": ("p INT", "INT", "ox_period_year(p) * 12 + p % 100 - 1"),
     "period_add": ("p INT, n INT", "INT", "(ox_period_months(p) + n) DIV 12 * 100 + (ox_period_months(p) + n) % 12 + 1"),
     "period_diff": ("a INT, b INT", "INT", "ox_period_months(a) - ox_period_months(b)"),
-    "extract_quarter_old": ("d DATE", "INT", "month(d) DIV 4 + 1"),
     # weeks: a year's week 1 begins on the week start at or before 4 January (modes 1 3 4 6) or on the first week start of the year (0 2 5 7)
     "week_start": ("d DATE, m INT", "DATE", "date_sub(d, CASE WHEN m % 2 = 1 THEN weekday(d) ELSE (weekday(d) + 1) % 7 END)"),
     "week_one": ("y INT, m INT", "DATE", "ox_week_start(make_date(y, 1, CASE WHEN m IN (1, 3, 4, 6) THEN 4 ELSE 7 END), m)"),

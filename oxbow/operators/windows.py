@@ -52,12 +52,38 @@ def with_lag_ignore_nulls(df: DataFrame, c: str, n: int, partition: list[str], o
     return base.join(values, on, "left").select(*df.columns, out)
 
 
+def with_lag_by_column(df: DataFrame, c: str, offset: str, partition: list[str], order: list, out: str) -> DataFrame:
+    """LAG(c, offset) where the offset is a column: the value so many rows before, after if it is negative, null where there is none.
+
+    Rows are numbered and each meets the number it asks for by an equi-join. A null offset gives null.
+    """
+    base = df.withColumn("__rn", F.row_number().over(Window.partitionBy(*partition).orderBy(*order)))
+    values = base.select(*[F.col(p).alias(f"__p{i}") for i, p in enumerate(partition)], F.col("__rn").alias("__at"), F.col(c).alias(out))
+    on = F.col("__rn") - F.col(offset) == F.col("__at")
+    for i, p in enumerate(partition):
+        on = on & F.col(p).eqNullSafe(F.col(f"__p{i}"))
+    return base.join(values, on, "left").select(*df.columns, out)
+
+
 def nth_from_last(c: str, n: int, partition: list[str], order: list) -> Column:
     """NTH_VALUE(c, n) FROM LAST over the whole partition: the order must be given reversed."""
     w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return F.nth_value(c, n).over(w)
 
 
+def over_column_bounds(df: DataFrame, kind: str, c: str, before: str, after: str, partition: list[str], order: list, out: str) -> DataFrame:
+    """``kind`` ('sum', 'count' or 'avg') over ROWS BETWEEN before PRECEDING AND after FOLLOWING where both bounds are columns; see ``sum_over_column_bounds``."""
+    if kind not in ("sum", "count", "avg"):
+        raise ValueError(f"no running form of {kind}")
+    rows = sum_over_column_bounds(df, c, before, after, partition, order, "__sum_out")
+    flags = rows.withColumn("__one", F.col(c).isNotNull().cast("int"))
+    both = sum_over_column_bounds(flags, "__one", before, after, partition, order, "__n_out")
+    n = F.coalesce("__n_out", F.lit(0))
+    known = F.col(before).isNotNull() & F.col(after).isNotNull()
+    made = {"sum": F.col("__sum_out"), "count": F.when(known, n), "avg": F.col("__sum_out") / F.nullif(n, F.lit(0))}[kind]
+    return both.withColumn(out, made).select(*df.columns, out)
+
+
 def sum_over_column_bounds(df: DataFrame, c: str, before: str, after: str, partition: list[str], order: list, out: str) -> DataFrame:
     """SUM over ROWS BETWEEN before PRECEDING AND after FOLLOWING where both bounds are columns.
 

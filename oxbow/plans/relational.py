@@ -72,8 +72,8 @@ FROM (SELECT {N} AS v FROM orders) x""",
     "agg_bits": "SELECT o_orderstatus, bit_and(o_custkey) AS b_and, bit_or(o_custkey) AS b_or, bit_xor(o_custkey) AS b_xor FROM orders GROUP BY o_orderstatus",
     "agg_bits_empty": ("SELECT coalesce(bit_and(o_custkey), -1) AS b_and, coalesce(bit_or(o_custkey), 0) AS b_or FROM orders WHERE o_orderkey < 0",
                        "SELECT coalesce(bit_and(o_custkey), -1) AS b_and, coalesce(bit_or(o_custkey), 0) AS b_or FROM orders WHERE o_orderkey < 0"),
-    "agg_group_concat": ("SELECT n_regionkey, left(listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name DESC), 1024) AS names FROM nation GROUP BY n_regionkey",
-                         "SELECT n_regionkey, left(string_agg(n_name, ',' ORDER BY n_name DESC), 1024) AS names FROM nation GROUP BY n_regionkey"),
+    "agg_group_concat": ("SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name DESC) AS names FROM nation GROUP BY n_regionkey",
+                         "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name DESC) AS names FROM nation GROUP BY n_regionkey"),
     "agg_group_concat_distinct": ("SELECT p_brand, listagg(DISTINCT p_type, '|') WITHIN GROUP (ORDER BY p_type) AS kinds FROM part GROUP BY p_brand",
                                   "SELECT p_brand, string_agg(DISTINCT p_type, '|' ORDER BY p_type) AS kinds FROM part GROUP BY p_brand"),
     "agg_constant": "SELECT o_orderstatus, 'fixed' AS tag, count(*) AS n FROM orders GROUP BY o_orderstatus",
@@ -85,6 +85,7 @@ FROM (SELECT {N} AS v FROM orders) x""",
     "agg_over_join": "SELECT n_name, count(*) AS n, round(avg(c_acctbal), 6) AS a FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
     "agg_high_cardinality": "SELECT l_orderkey, l_partkey, count(*) AS n, round(sum(l_quantity), 2) AS q FROM lineitem GROUP BY l_orderkey, l_partkey",
     "agg_rollup": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)",
+    "agg_grouping_sets": "SELECT o_orderstatus, o_orderpriority, grouping(o_orderstatus) AS no_status, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderpriority), ())",
     "agg_cube": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",
     # order, limit, top-k
     "sort_full": "SELECT c_custkey, c_nationkey, c_acctbal FROM customer ORDER BY c_nationkey, c_acctbal DESC, c_custkey",

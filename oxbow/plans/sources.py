@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from oxbow.sources import storage
 from oxbow.sources.delimited import LoadColumn, bulk_load, load_job, read_delimited, write_delimited
 from oxbow.sources.location import extent_map, foreign_scan, with_location
+from oxbow.sources.statements import Warehouse
 from oxbow.sources.tables import ColumnSpec, Table
-from oxbow.session import table
+from oxbow.session import register_views, table
 
 CUSTOMER = [
     LoadColumn("c_custkey", "bigint", not_null=True), LoadColumn("c_name"), LoadColumn("c_nationkey", "int"), LoadColumn("c_acctbal", "double"), LoadColumn("c_mktsegment"),
@@ -211,13 +212,47 @@ def location_extents(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("column").agg(F.min(F.col("low").cast("bigint")).alias("low"), F.max(F.col("high").cast("bigint")).alias("high"), F.sum("n_rows").alias("n_rows"))
 
 
-QUERIES = {f.__name__: f for f in (
+DDL = """
+CREATE TABLE o (o_orderkey BIGINT NOT NULL, o_custkey BIGINT, status CHAR(1) DEFAULT 'N', price DOUBLE, UNIQUE (o_orderkey), CONSTRAINT c1 CHECK (price > -1000000)) ENGINE=COLUMNS;
+INSERT INTO o SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders;
+"""
+#: Scripts of statements; the last one is the query that is compared.
+SCRIPTS = {
+    "stmt_insert": DDL + "INSERT INTO o (o_orderkey, o_custkey) VALUES (-1, 5), (-2, 2 + 3); INSERT INTO o VALUES (-3, NULL, 'it''s', 1.5); SELECT * FROM o",
+    "stmt_update": DDL + "UPDATE o SET price = price * 2, status = IF(o_custkey > 50, 'X', 'Y') WHERE status = 'F' XOR o_orderkey % 2 = 0; SELECT * FROM o",
+    "stmt_update_subquery": DDL + "UPDATE o SET price = 0 WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0); SELECT * FROM o",
+    "stmt_delete": DDL + "DELETE FROM o WHERE price / 0 IS NULL AND status = 'P'; DELETE FROM o WHERE o_custkey BETWEEN 10 AND 20; SELECT * FROM o",
+    "stmt_alter": DDL + "ALTER TABLE o ADD COLUMN note VARCHAR(10) DEFAULT 'none', DROP COLUMN status; ALTER TABLE o CHANGE o_custkey customer INT; ALTER TABLE o ADD COLUMN empty DATE; SELECT * FROM o",
+    "stmt_transaction": DDL + "START TRANSACTION; DELETE FROM o WHERE status = 'P'; UPDATE o SET price = 1 WHERE status = 'F'; COMMIT; START TRANSACTION; TRUNCATE TABLE o; ALTER TABLE o DROP COLUMN price; ROLLBACK; SELECT * FROM o",
+    "stmt_rename_drop": DDL + "CREATE TABLE gone (x INT); DROP TABLE gone; DROP TABLE IF EXISTS gone; RENAME TABLE o TO p; SELECT status, count(*) AS n FROM p GROUP BY status",
+    "stmt_auto_increment": "CREATE TABLE n (id BIGINT AUTO_INCREMENT, name VARCHAR(30)); INSERT INTO n (name) SELECT n_name FROM nation; INSERT INTO n (name) VALUES ('last'); SELECT max(id) AS top, count(DISTINCT id) AS ids, max(CASE WHEN name = 'last' THEN id END) AS last_id FROM n",
+}
+
+
+def _script(text: str):
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        register_views(spark, d, "orders", "customer", "nation")
+        return Warehouse(spark, storage.scratch(spark, "warehouse")).script(text)
+
+    return query
+
+
+QUERIES = {n: _script(x) for n, x in SCRIPTS.items()} | {f.__name__: f for f in (
     io_csv_roundtrip, io_bulk_load, io_bulk_rejects, io_job_spec, io_formats, io_foreign_scan, dml_insert, dml_update, dml_delete, dml_delete_exists, dml_rollback, dml_rollback_schema, dml_insert_append, dml_transaction, io_load_job,
     ddl_alter, ddl_auto_increment, partition_show, partition_disable, partition_drop, partition_drop_by_value, table_redistribute, location_columns, location_extents,
 )}
 
 BASE = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders"
+SHORT = "SELECT o_orderkey, o_custkey, o_orderstatus AS status, o_totalprice AS price FROM orders"
 ORACLE = {
+    "stmt_insert": SHORT + " UNION ALL SELECT -1, 5, 'N', NULL UNION ALL SELECT -2, 5, 'N', NULL UNION ALL SELECT -3, NULL, 'it''s', 1.5",
+    "stmt_update": "SELECT o_orderkey, o_custkey, CASE WHEN hit THEN CASE WHEN o_custkey > 50 THEN 'X' ELSE 'Y' END ELSE o_orderstatus END AS status, CASE WHEN hit THEN o_totalprice * 2 ELSE o_totalprice END AS price FROM (SELECT *, (o_orderstatus = 'F') <> (o_orderkey % 2 = 0) AS hit FROM orders) x",
+    "stmt_update_subquery": "SELECT o_orderkey, o_custkey, o_orderstatus AS status, CASE WHEN o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) THEN 0 ELSE o_totalprice END AS price FROM orders",
+    "stmt_delete": SHORT + " WHERE o_orderstatus <> 'P' AND o_custkey NOT BETWEEN 10 AND 20",
+    "stmt_alter": "SELECT o_orderkey, CAST(o_custkey AS INT) AS customer, o_totalprice AS price, 'none' AS note, CAST(NULL AS DATE) AS empty FROM orders",
+    "stmt_transaction": "SELECT o_orderkey, o_custkey, o_orderstatus AS status, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE o_totalprice END AS price FROM orders WHERE o_orderstatus <> 'P'",
+    "stmt_rename_drop": "SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1",
+    "stmt_auto_increment": "SELECT CAST(26 AS BIGINT) AS top, CAST(26 AS BIGINT) AS ids, CAST(26 AS BIGINT) AS last_id",
     "io_csv_roundtrip": "SELECT * FROM customer",
     "io_bulk_load": "SELECT c_custkey, c_name, c_nationkey, left(c_mktsegment, 4) AS c_mktsegment FROM customer WHERE c_custkey % 70 <> 3 AND c_custkey % 100 <> 0 AND c_custkey % 150 <> 1",
     "io_bulk_rejects": """SELECT reason, count(*) AS n FROM (SELECT CASE WHEN c_custkey % 70 = 3 THEN 'fields' WHEN c_custkey % 150 = 1 THEN 'null in c_custkey' WHEN c_custkey % 100 = 0 THEN 'type of c_nationkey' END AS reason FROM customer) x

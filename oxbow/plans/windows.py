@@ -30,6 +30,13 @@ TEXTS: dict[str, str | tuple[str, str | None]] = {
   WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND 1 FOLLOWING)""",
                                     f"""SELECT event_id, first_value({E1} IGNORE NULLS) OVER w AS f, last_value({E1} IGNORE NULLS) OVER w AS l FROM events
   WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND 1 FOLLOWING)"""),
+    "win_default_frame": "SELECT event_id, sum(value) OVER (PARTITION BY user_id ORDER BY date_trunc('day', ts)) AS s, count(*) OVER (PARTITION BY user_id ORDER BY date_trunc('day', ts)) AS n, last_value(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS l FROM events",
+    "win_lead_ignore_nulls": (f"SELECT event_id, lead({E1}, 2) IGNORE NULLS OVER (PARTITION BY user_id ORDER BY event_id) AS second_after FROM events",
+                              f"SELECT event_id, lead({E1}, 2 IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS second_after FROM events"),
+    "win_nth_ignore_nulls": (f"""SELECT event_id, nth_value({E1}, 3) IGNORE NULLS OVER w AS third FROM events
+  WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""",
+                             f"""SELECT event_id, nth_value({E1}, 3 IGNORE NULLS) OVER w AS third FROM events
+  WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"""),
     "win_nth_value": """SELECT event_id, nth_value(value, 3) OVER w AS third FROM events
   WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""",
     "win_ntile": "SELECT o_orderkey, ntile(7) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS bucket FROM orders",
@@ -82,11 +89,27 @@ def win_frame_column_bound(spark: SparkSession, d: str) -> DataFrame:
     return W.sum_over_column_bounds(t, "o_orderkey", "b", "f", ["o_custkey"], ["o_orderkey"], "s").select("o_orderkey", "s")
 
 
+def win_lag_by_column(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "events").select("event_id", "user_id", "value", (F.pmod("event_id", F.lit(5)) - 1).alias("back"))
+    return W.with_lag_by_column(t, "value", "back", ["user_id"], ["event_id"], "v").select("event_id", "v")
+
+
+def win_frame_column_bound_avg(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.when(F.col("o_orderstatus") != "F", F.col("o_orderkey")).alias("v"), F.pmod("o_orderkey", F.lit(4)).alias("b"), F.pmod("o_custkey", F.lit(3)).alias("f"))
+    a = W.over_column_bounds(t, "avg", "v", "b", "f", ["o_custkey"], ["o_orderkey"], "a")
+    return W.over_column_bounds(a, "count", "v", "b", "f", ["o_custkey"], ["o_orderkey"], "n").select("o_orderkey", F.round("a", 6).alias("a"), "n")
+
+
 QUERIES |= {
+    "win_lag_by_column": win_lag_by_column, "win_frame_column_bound_avg": win_frame_column_bound_avg,
     "win_distinct": win_distinct, "win_lag_default": win_lag_default, "win_lag_ignore_nulls": win_lag_ignore_nulls,
     "win_nth_from_last": win_nth_from_last, "win_frame_column_bound": win_frame_column_bound,
 }
 ORACLE |= {
+    "win_lag_by_column": """WITH t AS (SELECT event_id, user_id, value, event_id % 5 - 1 AS back, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events)
+SELECT a.event_id, b.value AS v FROM t a LEFT JOIN t b ON a.user_id = b.user_id AND b.rn = a.rn - a.back""",
+    "win_frame_column_bound_avg": """WITH t AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus <> 'F' THEN o_orderkey END AS v, o_orderkey % 4 AS b, o_custkey % 3 AS f, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders)
+SELECT a.o_orderkey, round(avg(x.v), 6) AS a, count(x.v) AS n FROM t a JOIN t x ON a.o_custkey = x.o_custkey AND x.rn BETWEEN a.rn - a.b AND a.rn + a.f GROUP BY a.o_orderkey""",
     "win_distinct": "SELECT p_partkey, count(DISTINCT p_size) OVER w AS n, CAST(sum(DISTINCT p_size) OVER w AS DOUBLE) AS s, round(avg(DISTINCT p_size) OVER w, 6) AS a FROM part WINDOW w AS (PARTITION BY p_brand)",
     "win_lag_default": f"SELECT event_id, coalesce(lag({E1}) OVER w, 'none') AS before, coalesce(lead({E1}) OVER w, 'none') AS after FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)",
     "win_lag_ignore_nulls": f"SELECT event_id, lag({E1}, 2 IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS second_before FROM events",
