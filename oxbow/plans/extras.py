@@ -88,5 +88,7 @@ ORACLE = {n: y for n, (_, y) in DIALECT.items()} | {
     "udf_expression": "SELECT p_partkey, p_size + p_retailprice AS added, nullif(p_type, 'SMALL') IS NULL AS nothing FROM part",
     "udf_vectorised": "SELECT p_partkey, p_retailprice * 2 AS v FROM part",
     "explain_plan": "SELECT TRUE AS pushed, TRUE AS pruned",
+    "stream_event_windows": """SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2
+HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
     "event_windows": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
 }

@@ -70,9 +70,9 @@ FN: dict[str, tuple[str, str | None, str]] = {
     "truncate": ("ox_truncate(CAST(c_acctbal AS DECIMAL(28,10)), 1)", "CAST(trunc(CAST(c_acctbal AS DECIMAL(12,2)) * 10) AS DOUBLE) / 10", C),
     "truncate_negative": ("ox_truncate(CAST(c_acctbal AS DECIMAL(28,10)), -2)", "CAST(trunc(CAST(c_acctbal AS DECIMAL(12,2)) / 100) AS DOUBLE) * 100", C),
     "sign": ("ox_sign(c_acctbal)", "CAST(sign(c_acctbal) AS BIGINT)", C),
-    "trigonometry": ("round(sin(p_size) + cos(p_size) * tan(p_size) + atan(p_size) + atan2(p_size, 2) + cot(p_size), 6)", None, P),
-    "arc_functions": ("round(asin(p_size / 100) + acos(p_size / 100) + radians(p_size) + degrees(p_size / 100), 8)", None, P),
-    "logarithms": ("round(ln(p_size) + log2(p_size) + log10(p_size) + sqrt(p_size) + pi(), 8)", None, P),
+    "trigonometry": ("round(sin(p_size), 8) AS a, round(cos(p_size), 8) AS b, round(tan(p_size), 6) AS c, round(atan(p_size), 8) AS d, round(atan2(p_size, 2), 8) AS e, round(cot(p_size), 6)", None, P),
+    "arc_functions": ("round(asin(p_size / 100), 8) AS a, round(acos(p_size / 100), 8) AS b, round(radians(p_size), 8) AS c, round(degrees(p_size / 100), 8)", None, P),
+    "logarithms": ("round(ln(p_size), 8) AS a, round(log2(p_size), 8) AS b, round(log10(p_size), 8) AS c, round(sqrt(p_size), 8) AS d, round(pi(), 8)", None, P),
     "between": ("p_size BETWEEN 5 AND 20", None, P),
     "notbetween": ("p_size NOT BETWEEN 5 AND 20", None, P),
     "in": ("p_type IN ('SMALL', 'PROMO')", None, P),

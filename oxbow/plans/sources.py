@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oxbow.sources import storage
 from oxbow.sources.delimited import LoadColumn, bulk_load, load_job, read_delimited, write_delimited
-from oxbow.sources.location import extent_map, foreign_scan, with_location
+from oxbow.sources.location import extent_map, foreign_scan, with_extents, with_location
 from oxbow.sources.statements import Warehouse
 from oxbow.sources.tables import ColumnSpec, Table
 from oxbow.session import register_views, table
@@ -68,6 +69,18 @@ def io_foreign_scan(spark: SparkSession, d: str) -> DataFrame:
     return foreign_scan(spark, "parquet", {"path": f"{d}/orders.parquet"}, ["o_orderkey", "o_totalprice"], "o_totalprice > 450000")
 
 
+def io_jdbc_scan(spark: SparkSession, d: str) -> DataFrame:
+    """A table of another engine, here an embedded database: the filter runs there, and only the columns asked for come over."""
+    url = f"jdbc:derby:memory:ox{uuid.uuid4().hex};create=true"
+    t = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+    t.coalesce(1).write.jdbc(url, "suppliers", properties={"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
+    return foreign_scan(spark, "jdbc", {"url": url, "dbtable": "suppliers", "driver": "org.apache.derby.jdbc.EmbeddedDriver"}, ["s_suppkey", "s_acctbal"], "s_acctbal > 5000 AND s_nationkey < 20")
+
+
+def location_row_extents(spark: SparkSession, d: str) -> DataFrame:
+    return with_extents(spark, f"{d}/orders.parquet", "o_orderkey").select("o_orderkey", "extent_min", "extent_max")
+
+
 def _orders(spark: SparkSession, d: str, partition: bool = False) -> Table:
     cols = [ColumnSpec("o_orderkey", "bigint", not_null=True), ColumnSpec("o_custkey", "bigint"), ColumnSpec("o_orderstatus", "string", default="'N'"), ColumnSpec("o_totalprice", "double")]
     t = Table.create(spark, storage.scratch(spark, "table"), cols, ["o_orderstatus"] if partition else [], checks=["o_totalprice IS NULL OR o_totalprice > -1000000"], unique=[["o_orderkey"]])
@@ -239,7 +252,7 @@ def _script(text: str):
 
 QUERIES = {n: _script(x) for n, x in SCRIPTS.items()} | {f.__name__: f for f in (
     io_csv_roundtrip, io_bulk_load, io_bulk_rejects, io_job_spec, io_formats, io_foreign_scan, dml_insert, dml_update, dml_delete, dml_delete_exists, dml_rollback, dml_rollback_schema, dml_insert_append, dml_transaction, io_load_job,
-    ddl_alter, ddl_auto_increment, partition_show, partition_disable, partition_drop, partition_drop_by_value, table_redistribute, location_columns, location_extents,
+    ddl_alter, ddl_auto_increment, partition_show, partition_disable, partition_drop, partition_drop_by_value, table_redistribute, location_columns, location_extents, io_jdbc_scan, location_row_extents,
 )}
 
 BASE = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders"
@@ -253,6 +266,8 @@ ORACLE = {
     "stmt_transaction": "SELECT o_orderkey, o_custkey, o_orderstatus AS status, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE o_totalprice END AS price FROM orders WHERE o_orderstatus <> 'P'",
     "stmt_rename_drop": "SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1",
     "stmt_auto_increment": "SELECT CAST(26 AS BIGINT) AS top, CAST(26 AS BIGINT) AS ids, CAST(26 AS BIGINT) AS last_id",
+    "io_jdbc_scan": "SELECT s_suppkey, s_acctbal FROM supplier WHERE s_acctbal > 5000 AND s_nationkey < 20",
+    "location_row_extents": "SELECT o_orderkey, (SELECT min(o_orderkey) FROM orders) AS extent_min, (SELECT max(o_orderkey) FROM orders) AS extent_max FROM orders",
     "io_csv_roundtrip": "SELECT * FROM customer",
     "io_bulk_load": "SELECT c_custkey, c_name, c_nationkey, left(c_mktsegment, 4) AS c_mktsegment FROM customer WHERE c_custkey % 70 <> 3 AND c_custkey % 100 <> 0 AND c_custkey % 150 <> 1",
     "io_bulk_rejects": """SELECT reason, count(*) AS n FROM (SELECT CASE WHEN c_custkey % 70 = 3 THEN 'fields' WHEN c_custkey % 150 = 1 THEN 'null in c_custkey' WHEN c_custkey % 100 = 0 THEN 'type of c_nationkey' END AS reason FROM customer) x

@@ -64,12 +64,14 @@ SELECT o_year, round(sum(CASE WHEN nation_name = 'NATION_2' THEN volume ELSE 0 E
     AND o_orderdate BETWEEN DATE '1997-01-01' AND DATE '1998-12-31' AND p_type = 'ECONOMY') all_nations
 GROUP BY o_year ORDER BY o_year""",
     "tpch_q09": f"""
-WITH offers AS {OFFERS}
+WITH red AS (SELECT p_partkey FROM part WHERE p_name LIKE '%red%'),
+offers AS (SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, round(min(l_extendedprice), 2) AS ps_supplycost
+  FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM red) GROUP BY l_partkey, l_suppkey)
 SELECT nation_name, o_year, round(sum(amount), 4) AS sum_profit FROM (
   SELECT n_name AS nation_name, {YEAR("o_orderdate")} AS o_year, {VOLUME} - ps_supplycost * l_quantity / 100 AS amount
-  FROM part, supplier, lineitem, offers, orders, nation
+  FROM red, supplier, lineitem, offers, orders, nation
   WHERE s_suppkey = l_suppkey AND ps_suppkey = l_suppkey AND ps_partkey = l_partkey AND p_partkey = l_partkey AND o_orderkey = l_orderkey
-    AND s_nationkey = n_nationkey AND p_name LIKE '%red%') profit
+    AND s_nationkey = n_nationkey) profit
 GROUP BY nation_name, o_year ORDER BY nation_name, o_year DESC""",
     "tpch_q10": f"""
 SELECT c_custkey, c_name, round(sum({VOLUME}), 4) AS revenue, c_acctbal, n_name

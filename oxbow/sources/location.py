@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from oxbow.session import parallelism
+
 
 def with_location(df: DataFrame) -> DataFrame:
     """Columns for the place of each row of a file scan: loc_file, loc_block, loc_size, loc_partition."""
@@ -20,10 +23,11 @@ def extent_map(spark: SparkSession, path: str, columns: list[str] | None = None)
 
     One task per few files; the executors read the footers. The values are shown as text.
     """
-    files = spark.read.parquet(path).select(F.col("_metadata.file_path").alias("file")).distinct()
+    names = sorted(unquote(f) for f in spark.read.parquet(path).inputFiles())  # from the listing: no row is read
+    files = spark.createDataFrame([(f,) for f in names], "file string").repartition(max(1, min(len(names), parallelism(spark))))
 
     def footers(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from urllib.parse import unquote, urlparse
+        from urllib.parse import urlparse
 
         import pyarrow.fs as pafs
         import pyarrow.parquet as pq
@@ -58,6 +62,15 @@ def foreign_scan(spark: SparkSession, fmt: str, options: dict[str, str], columns
     return d.select(*columns) if columns else d
 
 
+def with_extents(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """The rows of a Parquet folder with the file they are in and the least and greatest value of ``column`` in it, from the footers."""
+    x = extent_map(spark, path, [column])
+    kind = spark.read.parquet(path).schema[column].dataType.simpleString()
+    low, high = F.min(F.col("low").try_cast(kind)), F.max(F.col("high").try_cast(kind))
+    files = x.groupBy(F.substring_index("file", "/", -1).alias("loc_file")).agg(low.alias("extent_min"), high.alias("extent_max"))
+    return spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("loc_file")).join(files, "loc_file")
+
+
 def explain_text(df: DataFrame) -> str:
     """The formatted physical plan."""
     return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
