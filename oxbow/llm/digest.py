@@ -24,6 +24,8 @@ from oxbow.llm.quality import exact_ranks
 from oxbow.session import ensure_checkpoint_dir, spread, table
 
 DELTA = 1000
+#: Parts in which the digests of one group are put together first.
+SALTS = 64
 #: Stands for the null group where ranks are joined.
 NO_GROUP = "\x01no group"
 SCHEMA = "field string, grp string, day date, n long, low double, high double, means array<double>, weights array<long>"
@@ -148,10 +150,18 @@ def _merge_sorted(delta: int):
 
 
 def merge(digests: DataFrame, keep_day: bool, delta: int = DELTA) -> DataFrame:
-    """Digests put together by (field, grp) or (field, grp, day); a group has at most one digest from each task and day."""
+    """Digests put together by (field, grp) or (field, grp, day).
+
+    By day, a group has a digest from each task that saw it: those are put together in SALTS parts first, so no task gets
+    all of a hot group. Digests come in a fixed order, so a task that is run again gives the same centroids.
+    """
     d = digests if keep_day else digests.withColumn("day", F.lit(None).cast("date"))
-    keys = ["field", "grp", "day"]
-    return d.select(*COLUMNS).repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_merge_sorted(delta), SCHEMA)
+    keys, order = ["field", "grp", "day"], ["low", "high", "n"]
+    d = d.select(*COLUMNS)
+    if keep_day:
+        salt = F.pmod(F.xxhash64(*order), F.lit(SALTS))
+        d = d.repartition(*keys, salt).sortWithinPartitions(*keys, *order).mapInPandas(_merge_sorted(delta), SCHEMA)
+    return d.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(_merge_sorted(delta), SCHEMA)
 
 
 def daily_digests(df: DataFrame, group: Column, day: Column, fields: list[str], delta: int = DELTA) -> DataFrame:
