@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from oxbow.plans import extras, functions, general, relational, sources, tpch, windows
+from oxbow.plans import extras, functions, general, relational, sources, tpch, windows, workload
 
-MODULES = [tpch, relational, windows, functions, sources, extras, general]
+MODULES = [tpch, relational, workload, windows, functions, sources, extras, general]
 
 
 def queries() -> dict:
