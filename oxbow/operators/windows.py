@@ -1,10 +1,15 @@
-"""Window forms that Spark has no direct syntax for."""
+"""Window forms that Spark has no direct syntax for.
+
+Those with a running count or sum take it from ``ranged_sums``: a partition with a third of all rows is many tasks.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from oxbow.operators.ranks import ranged_sums
+
 
 def whole(*partition: str) -> WindowSpec:
     """Whole-partition frame."""
@@ -43,8 +48,8 @@ def with_lag_ignore_nulls(df: DataFrame, c: str, n: int, partition: list[str], o
     Values that aren't null are numbered; a row that has k of them before it takes number k - n + 1 by an
     equi-join, so no list of a partition is built.
     """
-    w = Window.partitionBy(*partition).orderBy(*order)
-    base = df.withColumn("__before", F.count(c).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col(c).isNotNull().cast("int"))
+    there = F.col(c).isNotNull().cast("long")
+    base = ranged_sums(df, partition, order, {"__upto": there}).withColumn("__before", F.col("__upto") - there)
     values = base.filter(F.col(c).isNotNull()).select(*[F.col(p).alias(f"__p{i}") for i, p in enumerate(partition)], (F.col("__before") + n).alias("__at"), F.col(c).alias(out))
     on = F.col("__before") == F.col("__at")
     for i, p in enumerate(partition):
@@ -57,7 +62,7 @@ def with_lag_by_column(df: DataFrame, c: str, offset: str, partition: list[str],
 
     Rows are numbered and each meets the number it asks for by an equi-join. A null offset gives null.
     """
-    base = df.withColumn("__rn", F.row_number().over(Window.partitionBy(*partition).orderBy(*order)))
+    base = ranged_sums(df, partition, order, {"__rn": F.lit(1).cast("long")})
     values = base.select(*[F.col(p).alias(f"__p{i}") for i, p in enumerate(partition)], F.col("__rn").alias("__at"), F.col(c).alias(out))
     on = F.col("__rn") - F.col(offset) == F.col("__at")
     for i, p in enumerate(partition):
@@ -91,10 +96,13 @@ def sum_over_column_bounds(df: DataFrame, c: str, before: str, after: str, parti
     number, so no partition is collected. A null bound gives null; negative bounds count as zero; an
     empty frame gives null.
     """
-    w = Window.partitionBy(*partition).orderBy(*order)
-    base = df.withColumns({"__rn": F.row_number().over(w), "__n": F.count(F.lit(1)).over(Window.partitionBy(*partition))})
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    base = base.withColumns({"__sum": F.sum(F.coalesce(F.col(c), F.lit(0))).over(upto), "__cnt": F.count(c).over(upto)})
+    one = F.lit(1).cast("long")
+    base = ranged_sums(df, partition, order, {"__rn": one, "__sum": F.coalesce(F.col(c), F.lit(0)), "__cnt": F.col(c).isNotNull().cast("long")})
+    sizes = df.groupBy(*partition).agg(F.count(F.lit(1)).alias("__n")).select(*[F.col(p).alias(f"__z{i}") for i, p in enumerate(partition)], "__n")
+    same = F.lit(True)
+    for i, p in enumerate(partition):
+        same = same & F.col(p).eqNullSafe(F.col(f"__z{i}"))
+    base = base.join(sizes, same).drop(*[f"__z{i}" for i in range(len(partition))])
     base = base.withColumns({"__lo": F.greatest(F.lit(0), F.col("__rn") - F.greatest(F.col(before), F.lit(0)) - 1), "__hi": F.least("__n", F.col("__rn") + F.greatest(F.col(after), F.lit(0)))})
     marks = base.select(*[F.col(p).alias(f"__p{i}") for i, p in enumerate(partition)], F.col("__rn").alias("__at"), F.col("__sum").alias("__s"), F.col("__cnt").alias("__c"))
 

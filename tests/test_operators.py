@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from oxbow.operators import anomalies
 from oxbow.operators.anomalies import Model, Reading, implausible_readings
 from oxbow.operators.intervals import interval_periods
-from oxbow.operators.ranks import sliced_row_number
+from oxbow.operators.ranks import ranged_sums, sliced_row_number
 from oxbow.operators.snapshots import SnapshotIndex, snapshot_changes
 
 T0 = datetime.datetime(2014, 1, 1)
@@ -34,6 +34,23 @@ def test_sliced_row_number(spark):
         assert [b for _, b in x] == sorted(b for _, b in x)
 
 
+def test_ranged_sums(spark):
+    """Running sums of one hot group and others, with nulls and repeated rows, however the range partitions fall."""
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "a", "a", "a", "b", None]), i // 2, rng.choice([None, 1, 5, -2])) for i in range(700)]
+    df = spark.createDataFrame(rows, "g string, o int, v int")
+    got = defaultdict(list)
+    for r in ranged_sums(df, ["g"], ["o"], {"rn": F.lit(1).cast("long"), "s": F.col("v")}).collect():
+        got[r["g"]].append((r["rn"], r["o"], r["v"], r["s"]))
+    assert sum(map(len, got.values())) == len(rows)
+    for x in got.values():
+        total = 0
+        for i, (rn, _, v, s) in enumerate(sorted(x)):
+            total += v or 0
+            assert rn == i + 1 and s == total
+        assert [o for _, o, *_ in sorted(x)] == sorted(o for _, o, *_ in x)
+
+
 def brute_periods(rows):
     out = []
     by = defaultdict(list)
