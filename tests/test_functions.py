@@ -111,7 +111,7 @@ DIALECT = [
     ("SELECT INET_ATON(ip), 'WEEK(d)' FROM t -- WEEK(d)", "SELECT ox_inet_aton(ip), 'WEEK(d)' FROM t -- WEEK(d)"),
     ("SELECT CONCAT_WS(',', ELT(2, 'a', 'b'), x)", "SELECT ox_concat_ws(',', array(ox_elt(2, array('a', 'b')), x))"),
     ("SELECT DATE_SUB(d, INTERVAL 1 MONTH)", "SELECT (d - INTERVAL 1 MONTH)"),
-    ("SELECT GREATEST(a, b, c)", "SELECT ox_greatest(ox_greatest(a, b), c)"),
+    ("SELECT GREATEST(a, b, c)", "SELECT CASE WHEN (a) IS NULL OR (b) IS NULL OR (c) IS NULL THEN NULL ELSE greatest(a, b, c) END"),
     ("SELECT `left` FROM t WHERE a = 1", "SELECT `left` FROM t WHERE a = 1"),
     ("SELECT a FROM t LEFT JOIN s ON t.a = s.a", "SELECT a FROM t LEFT JOIN s ON t.a = s.a"),
     ("INSERT INTO t (a) VALUES (1)", "INSERT INTO t (a) VALUES (1)"),
