@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oxbow.sources import storage
 from oxbow.sources.delimited import LoadColumn, bulk_load, load_job, read_delimited, write_delimited
+from oxbow.sources.embedded import DRIVER, publish
 from oxbow.sources.location import extent_map, foreign_scan, with_extents, with_location
 from oxbow.sources.statements import Warehouse
 from oxbow.sources.tables import ColumnSpec, Table
@@ -71,10 +71,8 @@ def io_foreign_scan(spark: SparkSession, d: str) -> DataFrame:
 
 def io_jdbc_scan(spark: SparkSession, d: str) -> DataFrame:
     """A table of another engine, here an embedded database: the filter runs there, and only the columns asked for come over."""
-    url = f"jdbc:derby:memory:ox{uuid.uuid4().hex};create=true"
-    t = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
-    t.coalesce(1).write.jdbc(url, "suppliers", properties={"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
-    return foreign_scan(spark, "jdbc", {"url": url, "dbtable": "suppliers", "driver": "org.apache.derby.jdbc.EmbeddedDriver"}, ["s_suppkey", "s_acctbal"], "s_acctbal > 5000 AND s_nationkey < 20")
+    url = publish(table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal"), "suppliers")
+    return foreign_scan(spark, "jdbc", {"url": url, "dbtable": "suppliers", "driver": DRIVER}, ["s_suppkey", "s_acctbal"], "s_acctbal > 5000 AND s_nationkey < 20")
 
 
 def location_row_extents(spark: SparkSession, d: str) -> DataFrame:
